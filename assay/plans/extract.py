@@ -18,6 +18,7 @@ DEFAULTS = {
     "estimated_cost_usd": 0.0,
     "description": "",
 }
+NOT_ANSWERABLE = "task_type clustering has no verdict"
 REQUIRED = ["question", "hypothesis", "target_variable", "task_type", "dataset_query"]
 
 
@@ -80,6 +81,8 @@ def plan_reason(columns: list[str]) -> Column:
         for c, allowed in closed.items()
         if c in columns
     ]
+    if "task_type" in columns:
+        checks.append((F.col("task_type") == "clustering", F.lit(NOT_ANSWERABLE)))
     for failed, text in reversed(checks):
         reason = F.when(failed, text).otherwise(reason)
     return reason
