@@ -2,15 +2,15 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.operators.answers import evaluate, with_report
+from assay.operators.columns import text_column
 from assay.operators.prepare import Prepared, prepare
 from assay.operators.train import TREES, Trained, train
-from assay.operators.columns import text_column
 from assay.schemas import METRICS, RUN_EVENT, TEXT_TASKS
-from assay.sources.records import append_events, metric_map
+from assay.sources.records import append_events
 
 # Fixed value: metric columns that a run record merges.
 NUMBERS = ["r2", "rmse", "accuracy", "f1", "n_classes"]
@@ -39,10 +39,6 @@ class Outcome:
     error: str | None
 
 
-def _event(spark: SparkSession, plan: Plan, seq: int, status: str, error: str | None = None):
-    return spark.createDataFrame([(plan.id, seq, status, {}, error)], RUN_EVENT)
-
-
 def run_experiment(
     df: DataFrame,
     plan: Plan,
@@ -54,14 +50,10 @@ def run_experiment(
     """Prepare, train and score. A failure is a `failed` event and an error, not an exception."""
     spark = df.sparkSession
 
-    def log(seq: int, status: str, error: str | None = None, metrics: DataFrame | None = None):
-        if event_log is None:
-            return
-        event = _event(spark, plan, seq, status, error)
-        if metrics is not None:
-            values = metrics.select(metric_map(NUMBERS).alias("metrics"))
-            event = event.drop("metrics").crossJoin(F.broadcast(values))
-        append_events(event, event_log)
+    def log(seq: int, status: str, error: str | None = None, metrics: dict | None = None):
+        if event_log is not None:
+            event = (plan.id, seq, status, metrics or {}, error)
+            append_events(spark.createDataFrame([event], RUN_EVENT), event_log)
 
     try:
         log(1, "preparing")
@@ -83,7 +75,8 @@ def run_experiment(
         )
         row = trained.metrics.first()
         metrics = spark.createDataFrame([tuple(row)], METRICS)
-        log(3, "complete", metrics=metrics)
+        numbers = {n: float(row[n]) for n in NUMBERS if row[n] is not None}
+        log(3, "complete", metrics=numbers)
         return Outcome(prepared, trained, metrics, None)
     except Exception as exc:  # noqa: BLE001 - any failure belongs to the run, not the caller
         error = str(exc)

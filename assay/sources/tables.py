@@ -70,16 +70,27 @@ def infer_schema(raw: DataFrame) -> T.StructType:
     return T.StructType(fields)
 
 
+def has_multiline_fields(spark: SparkSession, path: str | list[str]) -> bool:
+    """True when a quoted field spans lines: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType | None = None,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """CSV with a header, missing-value tokens as nulls and typed columns.
 
-    A given schema saves the inference scan.
+    A given schema saves the inference scan. Files whose fields span lines
+    cannot be split between tasks; unless told, the reader checks for them and
+    splits all others.
     """
-    raw = spark.read.csv(
-        path, header=True, inferSchema=False, multiLine=False, escape='"', nullValue="\u0000"
-    )
+    if multi_line is None:
+        multi_line = has_multiline_fields(spark, path)
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     schema = schema or infer_schema(raw)
     return raw.select(*(_as(f.name, f.dataType).alias(f.name) for f in schema))
 

@@ -1,29 +1,45 @@
 """Live status of runs: the event log as a stream instead of a polling loop."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from assay.operators.runs import latest_runs
 from assay.schemas import RUN_EVENT
 
 
-def stream_events(spark: SparkSession, path: str) -> DataFrame:
+def stream_events(
+    spark: SparkSession, path: str, files_per_batch: int | None = None
+) -> DataFrame:
     """New events as they are appended to the log."""
-    return spark.readStream.schema(RUN_EVENT).parquet(path)
+    reader = spark.readStream.schema(RUN_EVENT)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
-def watch_runs(events: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest status per run in an in-memory table, updated per micro-batch.
+def watch_runs(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Write the runs each micro-batch changed to `table`; stops once the log is read.
 
-    State is one small row per run. Starts on what is there and stops by itself
-    once all of it is read.
+    State is one small row per run. A batch replaces only its own folder, so a
+    repeated batch leaves the table as it was.
     """
+
+    def save(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{table}/batch={batch}")
+
     return (
         latest_runs(events)
-        .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
+        .writeStream.outputMode("update")
+        .foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def current_runs(spark: SparkSession, table: str) -> DataFrame:
+    """Latest state per run out of the watched table."""
+    row = F.struct("status", "error", "seq")
+    found = spark.read.parquet(table).groupBy("run_id").agg(F.max_by(row, "batch").alias("r"))
+    return found.select("run_id", "r.*")
