@@ -14,10 +14,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def pick(*columns: str) -> str:
-    return ",\n    ".join(columns)
-
-
 STUDY_COLUMNS = {
     "o_orderkey": "o_orderkey",
     "acctbal": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE c_acctbal END",
