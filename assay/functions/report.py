@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assay.functions.numbers import fixed
 from assay.functions.verdict import percent
 
 # Headings and marks of the report.
@@ -39,7 +40,7 @@ def markdown(
             F.lit(FEATURE_HEADING),
             _lines(
                 F.slice(importance, 1, TOP_FEATURES),
-                lambda e: F.format_string("- `%s`: %.4f", e["feature"], e["importance"]),
+                lambda e: F.format_string("- `%s`: %s", e["feature"], fixed(e["importance"], 4)),
             ),
         ),
     ).otherwise("")
@@ -62,7 +63,8 @@ def markdown(
             "\n",
             F.lit("## Key Metrics"),
             _lines(
-                key_metrics, lambda e: F.format_string("- **%s**: %.4f", e["name"], e["value"])
+                key_metrics,
+                lambda e: F.format_string("- **%s**: %s", e["name"], fixed(e["value"], 4)),
             ),
         ),
         features,

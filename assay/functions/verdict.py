@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assay.functions.numbers import fixed, half_even
 from assay.schemas import CLASS_TASKS, REGRESSION_TASKS
 
 # Verdict bands.
@@ -19,21 +20,21 @@ LIFT_INCONCLUSIVE = 0.05
 
 # Sentences of an answer.
 LOW_R2 = (
-    "Model explains only %.1f%% of variance (R²=%.3f). "
+    "Model explains only %s%% of variance (R²=%s). "
     "Other factors not captured in the dataset may be important."
 )
 NEAR_BASELINE = (
-    "Model accuracy (%.1f%%) is close to the baseline (%.1f%%). "
+    "Model accuracy (%s%%) is close to the baseline (%s%%). "
     "The features may have limited predictive power."
 )
 NO_METRICS = "No metrics were produced — training may have failed silently."
 REGRESSION_EVIDENCE = (
-    "The model explains %.1f%% of the variance in the target (R²=%.3f), "
+    "The model explains %s%% of the variance in the target (R²=%s), "
     "suggesting the hypothesis is %s with %s confidence. "
     "'%s' is among the features considered."
 )
 CLASS_EVIDENCE = (
-    "The classifier achieved %.1f%% accuracy, indicating the hypothesis is %s with %s confidence."
+    "The classifier achieved %s%% accuracy, indicating the hypothesis is %s with %s confidence."
 )
 UNDEFINED_R2 = "R² is undefined because the hold-out target does not vary."
 
@@ -87,7 +88,7 @@ def regression_verdict(r2: Column) -> Column:
 
 def regression_confidence(r2: Column) -> Column:
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), r2))
-    return F.when(F.isnan(r2), 0.0).otherwise(F.round(F.least(F.lit(0.99), clamped + 0.1), 3))
+    return F.when(F.isnan(r2), 0.0).otherwise(half_even(F.least(F.lit(0.99), clamped + 0.1), 3))
 
 
 def classification_verdict(accuracy: Column, base: Column) -> Column:
@@ -103,13 +104,13 @@ def classification_verdict(accuracy: Column, base: Column) -> Column:
 def classification_confidence(accuracy: Column, base: Column) -> Column:
     share = (accuracy - base) / (F.lit(1.0) - base)
     return F.when(F.isnan(accuracy), 0.0).otherwise(
-        F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.01), share)), 3)
+        half_even(F.least(F.lit(0.99), F.greatest(F.lit(0.01), share)), 3)
     )
 
 
 def percent(share: Column) -> Column:
-    """Whole percent, exact halves to even."""
-    return F.format_string("%.0f%%", F.bround(share * 100.0, 0))
+    """Whole percent."""
+    return F.concat(fixed(share * 100.0, 0), F.lit("%"))
 
 
 def _by_task(task_type: Column, regression: Column, classes: Column, other: Column) -> Column:
@@ -144,11 +145,11 @@ def limitations(task_type: Column, m: Metrics) -> Column:
     accuracy = F.coalesce(m.accuracy, F.lit(0.5))
     base = baseline(m.n_classes)
     regression = F.when(F.isnan(r2), UNDEFINED_R2).when(
-        r2 < R2_CONFIRMED, F.format_string(LOW_R2, r2 * 100.0, r2)
+        r2 < R2_CONFIRMED, F.format_string(LOW_R2, fixed(r2 * 100.0, 1), fixed(r2, 3))
     )
     classes = F.when(
         accuracy < base + LIFT_CONFIRMED,
-        F.format_string(NEAR_BASELINE, accuracy * 100.0, base * 100.0),
+        F.format_string(NEAR_BASELINE, fixed(accuracy * 100.0, 1), fixed(base * 100.0, 1)),
     )
     return F.array_compact(
         F.array(
@@ -168,14 +169,16 @@ def evidence(
         task_type.isin(REGRESSION_TASKS),
         F.format_string(
             REGRESSION_EVIDENCE,
-            r2 * 100.0,
-            r2,
+            fixed(r2 * 100.0, 1),
+            fixed(r2, 3),
             verdict_,
             percent(confidence_),
             F.coalesce(primary_feature, F.lit("")),
         ),
     ).otherwise(
-        F.format_string(CLASS_EVIDENCE, accuracy * 100.0, verdict_, percent(confidence_))
+        F.format_string(
+            CLASS_EVIDENCE, fixed(accuracy * 100.0, 1), verdict_, percent(confidence_)
+        )
     )
 
 

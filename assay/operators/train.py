@@ -21,10 +21,11 @@ from assay.operators.prepare import Prepared
 from assay.operators.terms import BIGRAM_FEATURES, UNIGRAM_FEATURES, fit_tfidf
 from assay.schemas import CLASS_TASKS, METRICS, TEXT_TASKS
 
-# Trees and iterations.
+# Trees, iterations and solver tolerance.
 TREES = 300
 LINEAR_ITERATIONS = 1000
 TEXT_ITERATIONS = {1: 1000, 2: 500}
+TOLERANCE = 1e-4
 SEED = 42
 # Public defaults of the two boosting libraries (depth, learning rate).
 BOOSTING = {"xgboost": (6, 0.3), "lightgbm": (5, 0.1)}
@@ -70,7 +71,11 @@ def build_estimator(
 def logistic(rows: int, iterations: int) -> LogisticRegression:
     """Ridge strength 1 on the summed loss is 1/rows on Spark's mean loss."""
     return LogisticRegression(
-        maxIter=iterations, regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False
+        maxIter=iterations,
+        tol=TOLERANCE,
+        regParam=1.0 / max(rows, 1),
+        elasticNetParam=0.0,
+        standardization=False,
     )
 
 
@@ -190,6 +195,7 @@ def train_text(
             estimator = LinearRegression(
                 solver="l-bfgs",
                 maxIter=TEXT_ITERATIONS[n_max],
+                tol=TOLERANCE,
                 regParam=1.0 / max(rows, 1),
                 standardization=False,
             )

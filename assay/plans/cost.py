@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.functions.numbers import fixed, half_even
 from assay.schemas import HOURLY_RATES, TEXT_TASKS
 
 # Budgets (minutes) and machines of the choice.
@@ -20,7 +21,7 @@ LOCAL_TEXT = (
     "Consider Vertex AI for larger datasets or longer training runs."
 )
 CLOUD_TEXT = (
-    "Vertex AI %s spot instance (~$%.3f/hr). Estimated cost: $%.3f for %d minutes. "
+    "Vertex AI %s spot instance (~$%s/hr). Estimated cost: $%s for %d minutes. "
     "Uses preemptible/spot pricing for maximum savings."
 )
 
@@ -92,11 +93,11 @@ def estimate_costs(
         "compute_backend",
         F.when(is_local, "local").otherwise(machine).alias("machine_type"),
         hours.alias("estimated_hours"),
-        F.when(is_local, 0.0).otherwise(F.round(cost, 4)).alias("estimated_cost_usd"),
+        F.when(is_local, 0.0).otherwise(half_even(cost, 4)).alias("estimated_cost_usd"),
         F.when(is_local, F.create_map().cast("map<string,double>"))
         .otherwise(F.create_map(F.lit("machine_hourly_rate_usd"), rate, F.lit("hours"), hours))
         .alias("breakdown"),
         F.when(is_local, LOCAL_TEXT)
-        .otherwise(F.format_string(CLOUD_TEXT, machine, rate, cost, minutes))
+        .otherwise(F.format_string(CLOUD_TEXT, machine, fixed(rate, 3), fixed(cost, 3), minutes))
         .alias("recommendation"),
     )

@@ -184,11 +184,12 @@ RATES_SQL = "rates(machine, rate) AS (VALUES " + ", ".join(
       CASE WHEN backend = 'local' THEN 'local' ELSE chosen END AS machine_type,
       round(time_budget_minutes / CAST(60 AS DOUBLE), 6) AS estimated_hours,
       CASE WHEN backend = 'local' THEN CAST(0 AS DOUBLE)
-        ELSE round(rate * (time_budget_minutes / CAST(60 AS DOUBLE)), 4) END AS estimated_cost_usd,
+        ELSE CAST(printf('%.4f', rate * (time_budget_minutes / CAST(60 AS DOUBLE))) AS DOUBLE)
+        END AS estimated_cost_usd,
       CASE WHEN backend <> 'local' THEN rate END AS machine_hourly_rate_usd,
       CASE WHEN backend = 'local' THEN 'Running locally — free but limited to your machine''s CPU/RAM. Consider Vertex AI for larger datasets or longer training runs.'
         ELSE printf('Vertex AI %s spot instance (~$%.3f/hr). ', chosen, rate) ||
-          'Estimated cost: $' || printf('%.3f', round(rate * (time_budget_minutes / CAST(60 AS DOUBLE)), 9))
+          'Estimated cost: $' || printf('%.3f', rate * (time_budget_minutes / CAST(60 AS DOUBLE)))
           || printf(' for %d minutes. Uses preemptible/spot pricing for maximum savings.',
             time_budget_minutes) END AS recommendation
     FROM placed JOIN rates ON chosen = machine""",

@@ -36,15 +36,16 @@ REG_VERDICT = (
     "ELSE 'rejected' END"
 )
 REG_CONFIDENCE = (
-    f"round(least({d('0.99')}, greatest({d('0')}, least({d('1')}, {R2})) + {d('0.1')}), 3)"
+    f"CAST(printf('%.3f', least({d('0.99')}, greatest({d('0')}, least({d('1')}, {R2})) "
+    f"+ {d('0.1')})) AS DOUBLE)"
 )
 CLS_VERDICT = (
     f"CASE WHEN {ACC} - {BASELINE} >= {d('0.15')} THEN 'confirmed' "
     f"WHEN {ACC} - {BASELINE} >= {d('0.05')} THEN 'inconclusive' ELSE 'rejected' END"
 )
 CLS_CONFIDENCE = (
-    f"round(least({d('0.99')}, greatest({d('0.01')}, ({ACC} - {BASELINE}) / "
-    f"(1 - {BASELINE}))), 3)"
+    f"CAST(printf('%.3f', least({d('0.99')}, greatest({d('0.01')}, ({ACC} - {BASELINE}) / "
+    f"(1 - {BASELINE})))) AS DOUBLE)"
 )
 VERDICT = f"CASE WHEN {IS_REG} THEN {REG_VERDICT} WHEN {IS_CLS} THEN {CLS_VERDICT} ELSE 'inconclusive' END"
 CONFIDENCE = (
