@@ -1,6 +1,7 @@
 """Label encoding: values to their 0-based position in sorted order."""
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,14 +14,23 @@ from assay.scratch import materialize
 LEVELS_PER_TASK = 1_000_000
 
 
-def level_codes(levels: DataFrame, levels_per_task: int = LEVELS_PER_TASK) -> DataFrame:
+@dataclass(frozen=True)
+class Levels:
+    """(column_name, value, code) and the number of levels per column."""
+
+    table: DataFrame
+    sizes: dict[str, int]
+
+
+def level_codes(
+    levels: DataFrame, total: int, levels_per_task: int = LEVELS_PER_TASK
+) -> DataFrame:
     """(column_name, value) -> (column_name, value, code), codes dense per column.
 
     Up to `levels_per_task` levels are ranked per column at once. More are
     range-partitioned; each part is ranked alone and shifted by the sizes of
     the parts before it, so no task sees more than its range.
     """
-    total = levels.count()
     if total <= levels_per_task:
         order = Window.partitionBy("column_name").orderBy("value")
         return levels.select("column_name", "value", (F.row_number().over(order) - 1).alias("code"))
@@ -41,11 +51,12 @@ def level_codes(levels: DataFrame, levels_per_task: int = LEVELS_PER_TASK) -> Da
         )
     )
     order = Window.partitionBy("column_name", "part").orderBy("value")
-    return (
+    coded = (
         parts.withColumn("at", F.row_number().over(order) - 1)
         .join(F.broadcast(starts), ["column_name", "part"])
         .select("column_name", "value", (F.col("start") + F.col("at")).alias("code"))
     )
+    return materialize(coded, "codes")
 
 
 def fit_levels(
@@ -53,37 +64,37 @@ def fit_levels(
     columns: list[str],
     null_level: str | None = None,
     counts: DataFrame | None = None,
-) -> DataFrame:
-    """Level table of the given columns; nulls become `null_level` or are left out.
+) -> Levels:
+    """Levels of the given columns; nulls become `null_level` or are left out.
 
-    `counts` are value counts of the columns already at hand.
+    `counts` are written value counts of the columns already at hand.
     """
-    known = value_counts(df, columns) if counts is None else counts
-    values = known.select(
-        "column_name", F.coalesce("value", F.lit(null_level)).alias("value")
-    ).filter(F.col("value").isNotNull())
+    if counts is None:
+        counts = materialize(value_counts(df, columns), "values")
+    values = counts.select("column_name", F.coalesce("value", F.lit(null_level)).alias("value"))
     if null_level is not None:
         values = values.distinct()
-    return materialize(level_codes(values), "codes")
+    values = values.filter(F.col("value").isNotNull())
+    sizes = dict(values.groupBy("column_name").count().collect())
+    return Levels(level_codes(values, sum(sizes.values())), sizes)
 
 
 def apply_levels(
     df: DataFrame,
-    levels: DataFrame,
+    levels: Levels,
     columns: list[str],
     null_level: str | None = None,
     unseen: int | None = None,
 ) -> DataFrame:
     """Replace each column by its code; values not in the table become `unseen`."""
     names = df.columns
-    sizes = dict(levels.groupBy("column_name").count().collect())
     for column in columns:
-        codes = levels.filter(F.col("column_name") == column).select(
+        codes = levels.table.filter(F.col("column_name") == column).select(
             F.col("value").alias("_level"), F.col("code").alias("_code")
         )
         value = F.coalesce(as_text(df, column), F.lit(null_level))
         joined = lookup(
-            df.withColumn("_level", value), codes, "_level", right_rows=sizes.get(column, 0)
+            df.withColumn("_level", value), codes, "_level", right_rows=levels.sizes.get(column, 0)
         )
         code = F.col("_code") if unseen is None else F.coalesce("_code", F.lit(unseen))
         df = joined.withColumn(column, code.cast("int")).select(*names)

@@ -109,11 +109,17 @@ class Fills:
 
 
 def fit_fills(
-    df: DataFrame, columns: list[str] | None = None, counts: DataFrame | None = None
+    df: DataFrame,
+    columns: list[str] | None = None,
+    counts: DataFrame | None = None,
+    missing: tuple[int, dict[str, int]] | None = None,
 ) -> Fills:
-    """Fit fills for the columns that have nulls; `counts` are value counts already at hand."""
+    """Fit fills for the columns that have nulls.
+
+    `counts` and `missing` are value and null counts of `df` already at hand.
+    """
     columns = columns or df.columns
-    rows, nulls = missing_counts(df.select(*columns))
+    rows, nulls = missing_counts(df.select(*columns)) if missing is None else missing
     gaps = [c for c in columns if nulls[c]]
     numbers = {c: rows - nulls[c] for c in numeric_columns(df, gaps)}
     categories = categorical_columns(df, gaps)

@@ -112,12 +112,12 @@ def prepare(
     if nulls[target]:
         warnings.append(f"{nulls[target]} missing target values were imputed.")
     used = [c for c in used if c not in empty]
-    raw = split.add_split(raw.select(*hidden, *used), hidden or None, test_size, count=rows)
+    raw = split.add_split(raw.select(*hidden, *used), hidden or None, test_size)
 
     basis = raw if fit_on == "all" else raw.filter(F.col("split") == "train")
     categories = [c for c in categorical_columns(raw, used) if c not in text]
     counts = materialize(value_counts(basis, categories), "values") if categories else None
-    fills = impute.fit_fills(basis, used, counts)
+    fills = impute.fit_fills(basis, used, counts, (rows, nulls) if fit_on == "all" else None)
     filled = fills.apply(raw)
     if categories:
         unknown = [c for c in categories if fills.categories.get(c) == impute.UNKNOWN]
@@ -125,8 +125,10 @@ def prepare(
             extra = raw.sparkSession.createDataFrame(
                 [(c, impute.UNKNOWN, 0) for c in unknown], counts.schema
             )
-            counts = counts.unionByName(extra).groupBy("column_name", "value").agg(
-                F.sum("n").alias("n")
+            counts = (
+                counts.unionByName(extra)
+                .groupBy("column_name", "value")
+                .agg(F.sum("n").alias("n"))
             )
         levels = encode.fit_levels(basis, categories, counts=counts)
         filled = encode.apply_levels(

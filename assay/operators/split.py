@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from assay.functions.keys import SPLIT_SEED, split_hash
 
 TEST_SIZE = 0.2
+# Hex digits of a hash, and of one step into it.
+HASH_LENGTH = 32
 PREFIX_STEP = 3
 # Distinct hashes read to the driver to place the cut.
 CUT_HASHES = 4096
@@ -24,44 +26,47 @@ class Cut:
     ties: int
 
 
-def find_cut(hashes: DataFrame, rank: int) -> Cut:
-    """Hash of the `rank`-th smallest row (1-based) of the `h` column.
+def find_cut(hashes: DataFrame, rank) -> Cut | None:
+    """Boundary of the `rank(rows)` smallest rows (1-based) of the `h` column.
 
     Counts rows by hash prefix, steps into the prefix that holds the rank and
     lengthens it until few rows are left: one short count per step, no sort.
+    The first step also counts the rows. None for an empty table.
     """
-    prefix = ""
-    length = hashes.select(F.length("h")).first()[0]
+    prefix, left = "", None
     while True:
         inside = hashes.filter(F.startswith("h", F.lit(prefix))) if prefix else hashes
-        width = min(len(prefix) + PREFIX_STEP, length)
+        width = min(len(prefix) + PREFIX_STEP, HASH_LENGTH)
         sizes = (
             inside.groupBy(F.substring("h", 1, width).alias("p"))
             .agg(F.count(F.lit(1)).alias("n"))
-            .orderBy("p")
             .collect()
         )
-        for p, n in sizes:
-            if rank <= n:
-                break
-            rank -= n
-        prefix = p
-        if width == length:
-            return Cut(p, rank, n)
+        if not sizes:
+            return None
+        if left is None:
+            left = rank(sum(n for _, n in sizes))
+        prefix, left, n = _step(sizes, left)
+        if width == HASH_LENGTH:
+            return Cut(prefix, left, n)
         if n <= CUT_HASHES:
             break
     rows = (
         hashes.filter(F.startswith("h", F.lit(prefix)))
         .groupBy("h")
         .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy("h")
         .collect()
     )
-    for h, n in rows:
+    return Cut(*_step(rows, left))
+
+
+def _step(sizes: list, rank: int) -> tuple[str, int, int]:
+    """(value, rank inside it, size) of the value that holds a rank."""
+    for value, n in sorted(sizes):
         if rank <= n:
-            break
+            return value, rank, n
         rank -= n
-    return Cut(h, rank, n)
+    raise ValueError(f"rank is {rank} rows past the end")
 
 
 def _label(is_test: Column) -> Column:
@@ -88,7 +93,6 @@ def add_split(
     key: str | list[str] | None = None,
     test_size: float = TEST_SIZE,
     seed: int = SPLIT_SEED,
-    count: int | None = None,
 ) -> DataFrame:
     """Add `split`: the rows with the smallest key hashes are the test set.
 
@@ -101,16 +105,15 @@ def add_split(
         raise ValueError(f"test_size must be between 0 and 1, got {test_size}")
     keys = [key] if isinstance(key, str) else list(key or df.columns)
     h = split_hash([F.col(k) for k in keys], seed)
-    rows = df.count() if count is None else count
-    if rows == 0:
+    cut = find_cut(df.select(h.alias("h")), lambda rows: test_rows(rows, test_size))
+    if cut is None:
         return df.withColumn("split", F.lit("train"))
-    cut = find_cut(df.select(h.alias("h")), test_rows(rows, test_size))
     if cut.take == cut.ties:
         return df.withColumn("split", _label(h <= cut.hash))
 
     tied = df.filter(h == cut.hash)
     whole = split_hash([F.to_json(F.struct(*df.columns))], seed)
-    inner = find_cut(tied.select(whole.alias("h")), cut.take)
+    inner = find_cut(tied.select(whole.alias("h")), lambda _: cut.take)
     ahead = (h < cut.hash) | ((h == cut.hash) & (whole < inner.hash))
     if inner.take == inner.ties:
         return df.withColumn("split", _label(ahead | ((h == cut.hash) & (whole == inner.hash))))

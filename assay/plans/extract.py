@@ -22,30 +22,30 @@ NOT_ANSWERABLE = "task_type clustering has no verdict"
 REQUIRED = ["question", "hypothesis", "target_variable", "task_type", "dataset_query"]
 
 
-def _valid_json(text: Column) -> Column:
-    """The text itself when it parses as JSON, else null."""
-    return F.when(F.try_parse_json(text).isNotNull(), text)
+def plan_record(reply: Column) -> Column:
+    """Plan in a reply: all of it, else its fenced block, else its outermost braces.
 
-
-def plan_json(reply: Column) -> Column:
-    """JSON of a reply: all of it, else its fenced block, else its outermost braces."""
-    return F.coalesce(
-        _valid_json(F.trim(reply)),
-        _valid_json(F.trim(F.regexp_extract(reply, FENCE, 1))),
-        _valid_json(F.regexp_extract(reply, BRACES, 0)),
+    Null when none of them is a JSON object.
+    """
+    parsed = F.coalesce(
+        F.try_parse_json(reply),
+        F.try_parse_json(F.regexp_extract(reply, FENCE, 1)),
+        F.try_parse_json(F.regexp_extract(reply, BRACES, 0)),
     )
+    return F.try_variant_get(parsed, "$", PLAN.simpleString())
 
 
-def extract_plans(
+def parse_replies(
     replies: DataFrame, reply: str, id_: str = "id", **given: Column
-) -> tuple[DataFrame, DataFrame]:
-    """(plans, rejects with a reason) of a table of replies.
+) -> DataFrame:
+    """One plan row per reply, with the `reason` it is rejected for or null.
 
     `given` are the fields the asker sets (question, time_budget_minutes,
     compute); they win over what the reply says.
     """
-    parsed = replies.withColumn("_json", plan_json(F.col(reply))).withColumn(
-        "_plan", F.from_json("_json", PLAN, {"mode": "PERMISSIVE"})
+    # As a generator the parse runs once per row, however many fields and filters read it.
+    parsed = replies.select(
+        "*", F.inline(F.array(F.struct(plan_record(F.col(reply)).alias("_plan"))))
     )
 
     def value(name: str) -> Column:
@@ -59,12 +59,20 @@ def extract_plans(
         return F.coalesce(own, F.lit(DEFAULTS[name])) if name in DEFAULTS else own
 
     fields = [value(f.name).cast(f.dataType).alias(f.name) for f in PLAN]
-    plans = parsed.filter(F.col("_json").isNotNull()).select(*fields)
-    missing = parsed.filter(F.col("_json").isNull()).select(
-        F.col(id_).cast("string").alias("id"), F.lit(NO_PLAN).alias("reason")
+    plans = parsed.select(*fields, F.col("_plan").isNull().alias("_none"))
+    reason = F.when(F.col("_none"), NO_PLAN).otherwise(plan_reason(PLAN.fieldNames()))
+    return plans.withColumn("reason", reason).drop("_none")
+
+
+def extract_plans(
+    replies: DataFrame, reply: str, id_: str = "id", **given: Column
+) -> tuple[DataFrame, DataFrame]:
+    """(plans, rejects as id and reason) of a table of replies."""
+    checked = parse_replies(replies, reply, id_, **given)
+    return (
+        checked.filter(F.col("reason").isNull()).drop("reason"),
+        checked.filter(F.col("reason").isNotNull()).select("id", "reason"),
     )
-    valid, rejects = validate_plans(plans)
-    return valid, missing.unionByName(rejects.select("id", "reason"))
 
 
 def plan_reason(columns: list[str]) -> Column:

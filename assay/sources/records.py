@@ -37,15 +37,17 @@ def write_run_records(runs: DataFrame, path: str, mode: str = "overwrite") -> No
     runs.write.mode(mode).json(path)
 
 
-def read_run_records(spark: SparkSession, path: str) -> DataFrame:
-    """All readable runs in id order; malformed records and unknown states are skipped."""
-    raw = (
-        spark.read.schema(RUN)
-        .option("mode", "DROPMALFORMED")
-        .option("recursiveFileLookup", True)
-        .json(path)
+def read_run_records(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """All readable runs in id order; malformed records and unknown states are skipped.
+
+    `one_per_file` reads a folder per run with one, possibly indented, run.json each.
+    """
+    reader = (
+        spark.read.schema(RUN).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True)
     )
-    return list_runs(raw)
+    if one_per_file:
+        reader = reader.option("multiLine", True).option("pathGlobFilter", "run.json")
+    return list_runs(reader.json(path))
 
 
 def list_runs(runs: DataFrame) -> DataFrame:
@@ -85,10 +87,9 @@ def load_metrics(lines: DataFrame, id_: str, text: str) -> DataFrame:
 def read_metrics_files(spark: SparkSession, path: str) -> DataFrame:
     """Metrics of every metrics.json below a path, with the file as id."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "metrics.json")
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("file"), "value")
     )
     return load_metrics(files, "file", "value")

@@ -111,6 +111,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Use all cores for costly per-row work on a table that is read in fewer parts.
+
+    For scanned tables. One that has a part per core already is left as it is,
+    so nothing large is shuffled.
+    """
+    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def first_csv(spark: SparkSession, directory: str) -> str | None:
     """Smallest path of a CSV file under a directory, at any depth."""
     files = (

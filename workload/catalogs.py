@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from assay.functions.keys import cache_key
 from assay.operators import catalog
 from assay.plans.cost import estimate_costs, rate_table
-from assay.plans.extract import extract_plans, validate_plans
+from assay.plans.extract import parse_replies, validate_plans
 from assay.schemas import HOURLY_RATES
 from assay.sources.pages import page_links as links_of
-from workload.inputs import CANDIDATE_SQL, PLANS_SQL, candidates, plan_rows, table
+from workload.inputs import CANDIDATE_SQL, PLANS_SQL, candidates, plan_rows, wide_table
 from workload.registry import query
 
 POSITION = "CASE source WHEN 'kaggle' THEN 1 WHEN 'huggingface' THEN 2 ELSE 3 END"
@@ -139,7 +139,7 @@ def cache_misses(spark, sf):
     SELECT page_id, position, url, CASE WHEN name = '' THEN url ELSE name END AS name FROM clean""",
 )
 def page_links(spark, sf):
-    return links_of(table(spark, sf, "pages"), "page_id")
+    return links_of(wide_table(spark, sf, "pages"), "page_id")
 
 
 REASON = """CASE
@@ -248,23 +248,23 @@ BAD_TASK = "'task_type is not one of the allowed values: guessing'"
     FROM parsed""",
 )
 def plan_extract(spark, sf):
-    replies = table(spark, sf, "events").selectExpr(
+    replies = wide_table(spark, sf, "events").selectExpr(
         "event_id", "user_id", REPLY.replace("NEWLINE", "chr(10)") + " AS reply"
     )
-    plans, rejects = extract_plans(
+    found = parse_replies(
         replies,
         "reply",
         "event_id",
         question=F.concat(F.lit("q"), F.col("event_id")),
         time_budget_minutes=(F.col("user_id") % 60).cast("int"),
     )
-    valid = plans.select(
+    valid = F.col("reason").isNull()
+    return found.select(
         "id",
-        F.lit(None).cast("string").alias("reason"),
-        "hypothesis",
-        "task_type",
-        F.array_join("feature_variables", ",").alias("features"),
-        F.col("time_budget_minutes").alias("minutes"),
-        "machine_type",
+        "reason",
+        F.when(valid, F.col("hypothesis")).alias("hypothesis"),
+        F.when(valid, F.col("task_type")).alias("task_type"),
+        F.when(valid, F.array_join("feature_variables", ",")).alias("features"),
+        F.when(valid, F.col("time_budget_minutes")).alias("minutes"),
+        F.when(valid, F.col("machine_type")).alias("machine_type"),
     )
-    return valid.unionByName(rejects, allowMissingColumns=True)

@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.operators.joins import lookup
+from assay.sources.tables import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for costly per-row work: a single file is spread over the cores."""
+    return spread(table(spark, sf, name))
+
+
 STUDY_COLUMNS = {
     "o_orderkey": "o_orderkey",
     "acctbal": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE c_acctbal END",
@@ -174,7 +180,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     weights = ", ".join(
         f"'{f}', {WEIGHT.format(p=p, q=q)}" for f, (p, q) in zip(FEATURES, PRIMES)
     )
-    return table(spark, sf, "orders").selectExpr(
+    return wide_table(spark, sf, "orders").selectExpr(
         *(f"{e.format(text='STRING')} AS {n}" for n, e in SCORE_COLUMNS.items()),
         f"CASE WHEN o_orderkey % 19 <> 0 THEN map({weights}) END AS feature_importance",
         "array('acctbal', 'step') AS feature_variables",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from assay.operators.prepare import Prepared, prepare
 from assay.operators.split import add_split
 from assay.operators.train import train_tabular, train_text
-from workload.inputs import study, table
+from workload.inputs import study, table, wide_table
 from workload.registry import query
 
 TREES = 10
@@ -69,7 +69,7 @@ def feature_importance(spark, sf):
 
 
 def labelled_texts(spark, sf, *targets: str):
-    docs = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    docs = wide_table(spark, sf, "documents").select("doc_id", "text")
     labels = table(spark, sf, "labels").select("doc_id", *targets)
     return add_split(docs.join(labels, "doc_id"), "doc_id")
 

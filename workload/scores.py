@@ -17,6 +17,7 @@ from workload.inputs import (
     split_sql,
     study,
     table,
+    wide_table,
 )
 from workload.registry import query
 
@@ -312,7 +313,8 @@ SLICE_SQL = f"""{STUDY_SQL}, m AS (SELECT median(acctbal) AS a FROM study),
 def slice_lines(spark, sf):
     """Balance against three targets: imputed, split, fitted and scored."""
     rows = study(spark, sf).select("o_orderkey", "acctbal", "segment", *TARGETS)
-    ready = add_split(label_encode(impute(rows, ["acctbal"]), ["segment"]), "o_orderkey")
+    # The split needs the key alone, so it comes before the fills and codes.
+    ready = label_encode(impute(add_split(rows, "o_orderkey"), ["acctbal"]), ["segment"])
     pairs = [F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in TARGETS]
     long = ready.select("split", "acctbal", F.inline(F.array(*pairs)))
     return segments.holdout_line(long, F.col("acctbal"), F.col("y"), ["target"])
@@ -401,7 +403,7 @@ LINE_KEY = "md5('42:' || concat_ws('|', " + ", ".join(
     SELECT p_brand, n_train, n_test, rmse, r2, verdict, confidence FROM judged""",
 )
 def segment_experiments(spark, sf):
-    lines = add_split(table(spark, sf, "lineitem").select(*LINE_COLUMNS))
+    lines = add_split(wide_table(spark, sf, "lineitem").select(*LINE_COLUMNS))
     brands = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     rows = lookup(
         lines.select("l_partkey", "split", "l_quantity", "l_extendedprice"), brands, "l_partkey",

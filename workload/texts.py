@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from assay.operators import terms
 from assay.operators.split import add_split
-from workload.inputs import split_sql, table
+from workload.inputs import split_sql, wide_table
 from workload.registry import query
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
@@ -17,7 +17,7 @@ WORDS_SQL = f"words AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents)"
     CAST(len(list_distinct({TOKENS})) AS INT) AS n_distinct FROM documents""",
 )
 def tokenize_counts(spark, sf):
-    return terms.token_counts(table(spark, sf, "documents"), "doc_id", "text")
+    return terms.token_counts(wide_table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query(
@@ -27,7 +27,7 @@ def tokenize_counts(spark, sf):
     SELECT p[1] || ' ' || p[2] AS term, count(*) AS n FROM pairs GROUP BY 1""",
 )
 def bigram_counts(spark, sf):
-    return terms.bigram_counts(table(spark, sf, "documents"), "text")
+    return terms.bigram_counts(wide_table(spark, sf, "documents"), "text")
 
 
 @query(
@@ -36,7 +36,7 @@ def bigram_counts(spark, sf):
     GROUP BY term""",
 )
 def term_stats(spark, sf):
-    return terms.term_stats(table(spark, sf, "documents"), "text")
+    return terms.term_stats(wide_table(spark, sf, "documents"), "text")
 
 
 @query(
@@ -45,7 +45,7 @@ def term_stats(spark, sf):
     GROUP BY term ORDER BY n DESC, term LIMIT 5000""",
 )
 def tfidf_vocab(spark, sf):
-    return terms.vocabulary(table(spark, sf, "documents"), "text")
+    return terms.vocabulary(wide_table(spark, sf, "documents"), "text")
 
 
 @query(
@@ -62,6 +62,6 @@ def tfidf_vocab(spark, sf):
     SELECT doc_id, term, round(w / norm, 6) AS weight FROM raw JOIN norms USING (doc_id)""",
 )
 def tfidf_weights(spark, sf):
-    docs = add_split(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = add_split(wide_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     fitted = terms.fit_tfidf(docs.filter("split = 'train'"), "text")
     return fitted.weights(docs, "doc_id", "text").withColumn("weight", F.round("weight", 6))
