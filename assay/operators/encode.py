@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.operators.columns import as_text, value_counts
-from assay.operators.joins import lookup
+from assay.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, lookup
 from assay.scratch import materialize
 
 # Most levels one task ranks; more are ranked in that many range partitions.
@@ -16,10 +16,10 @@ LEVELS_PER_TASK = 1_000_000
 
 @dataclass(frozen=True)
 class Levels:
-    """(column_name, value, code) and the number of levels per column."""
+    """(column_name, value, code) and which columns' levels fit a broadcast."""
 
     table: DataFrame
-    sizes: dict[str, int]
+    small: dict[str, bool]
 
 
 def level_codes(
@@ -75,8 +75,13 @@ def fit_levels(
     if null_level is not None:
         values = values.distinct()
     values = values.filter(F.col("value").isNotNull())
-    sizes = dict(values.groupBy("column_name").count().collect())
-    return Levels(level_codes(values, sum(sizes.values())), sizes)
+    sizes = (
+        values.groupBy("column_name")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 32).alias("size"))
+        .collect()
+    )
+    small = {c: n <= BROADCAST_ROWS and size <= BROADCAST_BYTES for c, n, size in sizes}
+    return Levels(level_codes(values, sum(n for _, n, _ in sizes)), small)
 
 
 def apply_levels(
@@ -94,7 +99,7 @@ def apply_levels(
         )
         value = F.coalesce(as_text(df, column), F.lit(null_level))
         joined = lookup(
-            df.withColumn("_level", value), codes, "_level", right_rows=levels.sizes.get(column, 0)
+            df.withColumn("_level", value), codes, "_level", small=levels.small.get(column, True)
         )
         code = F.col("_code") if unseen is None else F.coalesce("_code", F.lit(unseen))
         df = joined.withColumn(column, code.cast("int")).select(*names)

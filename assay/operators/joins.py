@@ -1,18 +1,40 @@
 """Join of a skewed table to a table with one row per key."""
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Lookup rows that are broadcast; larger lookups are shuffled.
+# Bounds of a lookup that is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 # A key with more than this share of the rows is hot, so at most 1/share keys are.
 HOT_SHARE = 1e-4
 HOT_ROWS = 1_000_000
 SALTS = 256
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+def byte_size(df: DataFrame) -> Column:
+    """Rough width of a row: text by its bytes, nested values by their JSON."""
+
+    def width(field: T.StructField) -> Column:
+        column = F.col(field.name)
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.length(F.to_json(F.struct(column))), F.lit(0)) + 16
+        return F.lit(16)
+
+    return reduce(Column.__add__, (width(f) for f in df.schema)).cast("long")
+
+
+def fits_broadcast(
+    df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
+) -> bool:
+    """Measure a table against the broadcast bounds: one pre-aggregated scan."""
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(byte_size(df)), F.lit(0))).first()
+    return n <= rows and total <= size
 
 
 def lookup(
@@ -20,7 +42,7 @@ def lookup(
     right: DataFrame,
     key: str,
     how: str = "left",
-    right_rows: int | None = None,
+    small: bool | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -29,22 +51,18 @@ def lookup(
     A small right side is broadcast. For a large one the few hot keys of the
     left are looked up by broadcast and only the rest is shuffled; rows already
     answered carry a salted null key, so they spread evenly and match nothing.
-    `right_rows` is the size of the right side where the caller has counted it.
+    `small` tells whether the right side fits where the caller has measured it.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join kind {how!r}")
-    if right_rows is None:
-        small_right = fits_broadcast(right, broadcast_rows)
-    else:
-        small_right = right_rows <= broadcast_rows
-    if small_right:
+    if fits_broadcast(right, broadcast_rows) if small is None else small:
         return left.join(F.broadcast(right), key, how)
 
     values = [c for c in right.columns if c != key]
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     hot = counts.filter(F.col("_n") > max(hot_rows, int(total * HOT_SHARE))).select(key)
-    small = right.join(F.broadcast(hot), key, "left_semi").select(
+    answers = right.join(F.broadcast(hot), key, "left_semi").select(
         F.col(key).alias("_hot"), F.struct(F.lit(True).alias("_found"), *values).alias("_a")
     )
     large = right.select(
@@ -52,7 +70,7 @@ def lookup(
         F.lit(0).alias("_salt"),
         F.struct(F.lit(True).alias("_found"), *values).alias("_b"),
     )
-    once = left.join(F.broadcast(small), F.col(key) == F.col("_hot"), "left")
+    once = left.join(F.broadcast(answers), F.col(key) == F.col("_hot"), "left")
     answered = F.col("_a").isNotNull() | F.col(key).isNull()
     keyed = once.select(
         *left.columns,

@@ -40,9 +40,9 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
             )
         )
         return stats.select(F.inline(F.array(*stats.columns)))
-    dtype = F.lit(None).cast("string")
-    for f in df.schema:
-        dtype = F.when(F.col("column_name") == f.name, f.dataType.simpleString()).otherwise(dtype)
+    types = F.create_map(
+        *(F.lit(x) for f in df.schema for x in (f.name, f.dataType.simpleString()))
+    )
     nulls = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0))
     found = (
         value_counts(clean, df.columns)
@@ -52,7 +52,8 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
             F.count("value").alias("unique_count"),
         )
     )
-    return found.select("column_name", dtype.alias("dtype"), "null_pct", "unique_count")
+    dtype = F.element_at(types, F.col("column_name")).alias("dtype")
+    return found.select("column_name", dtype, "null_pct", "unique_count")
 
 
 def profile_samples(df: DataFrame, key: str, size: int = SAMPLE_VALUES) -> DataFrame:

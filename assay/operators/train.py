@@ -31,6 +31,9 @@ SEED = 42
 BOOSTING = {"xgboost": (6, 0.3), "lightgbm": (5, 0.1)}
 FOREST_DEPTH = 10
 
+# Most classes a classifier is fitted for: their labels are held on the driver.
+MAX_CLASSES = 10_000
+
 
 @dataclass(frozen=True)
 class Trained:
@@ -118,6 +121,9 @@ def metrics_row(
 
 def _index_labels(frame: DataFrame, target: str):
     """Classes as 0..k-1, over the labels of all rows."""
+    classes = frame.select(target).distinct().count()
+    if classes > MAX_CLASSES:
+        raise ValueError(f"target column '{target}' has {classes} classes, more than {MAX_CLASSES}")
     return StringIndexer(
         inputCol=target, outputCol="label", stringOrderType="alphabetAsc"
     ).fit(frame.select(target))

@@ -160,7 +160,7 @@ def profile_columns(spark, sf):
     return found.withColumn("null_pct", F.round("null_pct", 6))
 
 
-SAMPLE_COLUMNS = ["acctbal", "price", "priority", "segment", "status", "day"]
+SAMPLE_COLUMNS = ["o_orderkey", "acctbal", "price", "priority", "segment", "status", "day"]
 
 
 @query(
@@ -176,10 +176,7 @@ SAMPLE_COLUMNS = ["acctbal", "price", "priority", "segment", "status", "day"]
     SELECT column_name, position, value FROM ranked WHERE position <= 5""",
 )
 def profile_samples(spark, sf):
-    found = profile.profile_samples(
-        study(spark, sf).select("o_orderkey", *SAMPLE_COLUMNS), "o_orderkey"
-    )
-    return found.filter("column_name <> 'o_orderkey'")
+    return profile.profile_samples(study(spark, sf).select(*SAMPLE_COLUMNS), "o_orderkey")
 
 
 @query(
@@ -278,16 +275,20 @@ def label_encode(spark, sf):
 
 @query(
     "label_encode_unseen",
-    f"""WITH fit AS (SELECT DISTINCT p_name AS v FROM part WHERE p_partkey % 2 = 0),
+    f"""WITH {split_sql('orders', 'o_orderkey')},
+    fit AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM parts WHERE split = 'train'),
     codes AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM fit)
-    SELECT p_partkey, coalesce(code, 0) AS p_name FROM part LEFT JOIN codes ON p_name = v
-    WHERE p_partkey % 2 = 1""",
+    SELECT o_orderkey, coalesce(code, 0) AS customer
+    FROM parts LEFT JOIN codes ON CAST(o_custkey AS VARCHAR) = v WHERE split = 'test'""",
 )
 def label_encode_unseen(spark, sf):
-    # Even keys play the training rows, odd keys the test rows: both halves are used whole.
-    parts = table(spark, sf, "part").select("p_partkey", "p_name")
-    levels = encode.fit_levels(parts.filter("p_partkey % 2 = 0"), ["p_name"])
-    return encode.apply_levels(parts.filter("p_partkey % 2 = 1"), levels, ["p_name"], unseen=0)
+    orders = table(spark, sf, "orders").selectExpr(
+        "o_orderkey", "CAST(o_custkey AS STRING) AS customer"
+    )
+    rows = split.add_split(orders, "o_orderkey")
+    levels = encode.fit_levels(rows.filter("split = 'train'"), ["customer"])
+    test = rows.filter("split = 'test'").drop("split")
+    return encode.apply_levels(test, levels, ["customer"], unseen=0)
 
 
 @query(

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from assay.functions import verdict
 from assay.functions.verdict import Metrics
 from assay.operators import answers, metrics, segments
-from assay.operators.encode import label_encode
 from assay.operators.impute import impute
 from assay.operators.joins import lookup
 from assay.operators.split import add_split
@@ -302,7 +301,7 @@ def line_sql(source: str, x: str, y: str, by: str) -> str:
 
 TARGETS = ["total", "strong", "medium"]
 SLICE_SQL = f"""{STUDY_SQL}, m AS (SELECT median(acctbal) AS a FROM study),
-  filled AS (SELECT o_orderkey, coalesce(acctbal, a) AS acctbal, total, strong, medium, segment
+  filled AS (SELECT o_orderkey, coalesce(acctbal, a) AS acctbal, total, strong, medium
     FROM study, m),
   {split_sql('filled', 'o_orderkey')},
   long AS ({" UNION ALL ".join(
@@ -312,9 +311,9 @@ SLICE_SQL = f"""{STUDY_SQL}, m AS (SELECT median(acctbal) AS a FROM study),
 
 def slice_lines(spark, sf):
     """Balance against three targets: imputed, split, fitted and scored."""
-    rows = study(spark, sf).select("o_orderkey", "acctbal", "segment", *TARGETS)
-    # The split needs the key alone, so it comes before the fills and codes.
-    ready = label_encode(impute(add_split(rows, "o_orderkey"), ["acctbal"]), ["segment"])
+    rows = study(spark, sf).select("o_orderkey", "acctbal", *TARGETS)
+    # The split needs the key alone, so it comes before the fills.
+    ready = impute(add_split(rows, "o_orderkey"), ["acctbal"])
     pairs = [F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in TARGETS]
     long = ready.select("split", "acctbal", F.inline(F.array(*pairs)))
     return segments.holdout_line(long, F.col("acctbal"), F.col("y"), ["target"])
