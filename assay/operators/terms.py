@@ -4,21 +4,31 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import (
+    CountVectorizerModel,
+    ElementwiseProduct,
+    Normalizer,
+    SQLTransformer,
+)
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.text import bigrams, ngrams, tokens
+from assay.functions.text import bigrams, terms_statement, tokens
 
 # Vocabulary limits of the unigram and the bigram model.
 UNIGRAM_FEATURES = 5000
 BIGRAM_FEATURES = 10000
 
 
+def terms_stage(text: str, n_max: int = 1, output: str = "_terms") -> SQLTransformer:
+    """Pipeline stage from a text column to its term array."""
+    return SQLTransformer(statement=terms_statement(text, n_max, output))
+
+
 def token_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n_tokens, n_distinct) per document, without a shuffle."""
-    words = docs.select(key, tokens(F.col(text)).alias("w"))
+    words = docs.select(key, tokens(text).alias("w"))
     return words.select(
         key,
         F.size("w").alias("n_tokens"),
@@ -28,7 +38,8 @@ def token_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def bigram_counts(docs: DataFrame, text: str) -> DataFrame:
     """(term, n) of neighbouring token pairs over the corpus."""
-    pairs = docs.select(F.explode(bigrams(tokens(F.col(text)))).alias("term"))
+    words = docs.select(tokens(text).alias("_words"))
+    pairs = words.select(F.explode(bigrams("_words")).alias("term"))
     return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -38,7 +49,7 @@ def term_stats(docs: DataFrame, text: str, n_max: int = 1) -> DataFrame:
     Every document adds its tokens and, apart from them, its distinct tokens,
     so both counts come from one pre-aggregated shuffle on the term alone.
     """
-    terms = docs.select(ngrams(F.col(text), n_max).alias("t"))
+    terms = terms_stage(text, n_max, "t").transform(docs.select(text)).select("t")
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
 
     def marked(array, n, df):
@@ -71,10 +82,11 @@ class Tfidf:
     idf: list[float]
     n_max: int
 
-    def pipeline(self, output: str = "features") -> PipelineModel:
-        """Term counts times idf, scaled to unit length; runs inside each row."""
+    def pipeline(self, text: str, output: str = "features") -> PipelineModel:
+        """Text to term counts times idf, scaled to unit length; runs inside each row."""
         return PipelineModel(
             [
+                terms_stage(text, self.n_max),
                 CountVectorizerModel.from_vocabulary(
                     self.terms, inputCol="_terms", outputCol="_counts"
                 ),
@@ -87,8 +99,8 @@ class Tfidf:
 
     def transform(self, docs: DataFrame, text: str, output: str = "features") -> DataFrame:
         """`docs` with a sparse unit vector per row."""
-        words = docs.withColumn("_terms", ngrams(F.col(text), self.n_max))
-        return self.pipeline(output).transform(words).drop("_terms", "_counts", "_weights")
+        found = self.pipeline(text, output).transform(docs)
+        return found.drop("_terms", "_counts", "_weights")
 
     def weights(self, docs: DataFrame, key: str, text: str) -> DataFrame:
         """(key, term, weight) of the non-zero entries; documents are not shuffled."""

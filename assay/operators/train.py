@@ -1,5 +1,6 @@
 """Fit a model on the training rows, score it on the test rows."""
 
+import math
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -31,6 +32,8 @@ SEED = 42
 BOOSTING = {"xgboost": (6, 0.3), "lightgbm": (5, 0.1)}
 FOREST_DEPTH = 10
 
+# Fewest rows worth a task of their own while a fit iterates.
+FIT_ROWS = 20_000
 # Most classes a classifier is fitted for: their labels are held on the driver.
 MAX_CLASSES = 10_000
 
@@ -119,6 +122,20 @@ def metrics_row(
     )
 
 
+def _balance(train: DataFrame, rows: int) -> DataFrame:
+    """Cached training rows in as many parts as the fit can use.
+
+    Every iteration starts a task per part: a small table is merged, one that
+    was read in too few parts is spread over the cores, a large one is kept.
+    """
+    have = train.rdd.getNumPartitions()
+    want = max(1, math.ceil(rows / FIT_ROWS))
+    if want < have:
+        return train.coalesce(want)
+    cores = min(want, train.sparkSession.sparkContext.defaultParallelism)
+    return train.repartition(cores) if have < cores else train
+
+
 def _index_labels(frame: DataFrame, target: str):
     """Classes as 0..k-1, over the labels of all rows."""
     classes = frame.select(target).distinct().count()
@@ -153,7 +170,9 @@ def train_tabular(
     train = assembled(prepared.train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = train.count()
-        model = build_estimator(model_type, task, n_estimators, classes or 2, rows).fit(train)
+        model = build_estimator(model_type, task, n_estimators, classes or 2, rows).fit(
+            _balance(train, rows)
+        )
     finally:
         train.unpersist()
     scored = model.transform(assembled(prepared.test)).select("label", "prediction")
@@ -174,7 +193,7 @@ def train_text(
     """TF-IDF fitted on the training rows, then a linear model.
 
     `frame` holds the text, the target and `split`. A text regression is a real
-    regression. The fitted TF-IDF expects the term array of `terms.ngrams`.
+    regression.
     """
     limit = max_features or (UNIGRAM_FEATURES if n_max == 1 else BIGRAM_FEATURES)
     is_class = task == "nlp_classification"
@@ -195,6 +214,7 @@ def train_text(
     train = tfidf.transform(train_docs, text).select("features", "label")
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        train.count()
         if is_class:
             estimator = logistic(rows, TEXT_ITERATIONS[n_max])
         else:
@@ -205,12 +225,12 @@ def train_text(
                 regParam=1.0 / max(rows, 1),
                 standardization=False,
             )
-        model = estimator.fit(train)
+        model = estimator.fit(_balance(train, rows))
     finally:
         train.unpersist()
     test = tfidf.transform(docs.filter(F.col("split") == "test"), text)
     scored = model.transform(test).select("label", "prediction")
-    fitted = PipelineModel([*stages, *tfidf.pipeline().stages, model])
+    fitted = PipelineModel([*stages, *tfidf.pipeline(text).stages, model])
     return Trained(fitted, scored, metrics_row(scored, task, classes, None))
 
 

@@ -2,9 +2,8 @@ import math
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
-from assay.functions.text import bigrams, ngrams, tokens
+from assay.functions.text import bigrams, terms_statement, tokens
 from assay.operators import terms
 
 DOCS = [
@@ -24,9 +23,9 @@ def docs(spark):
 def test_tokens_and_bigrams(docs):
     rows = {
         r.id: (r.t, r.b)
-        for r in docs.select(
-            "id", tokens(F.col("text")).alias("t"), bigrams(tokens(F.col("text"))).alias("b")
-        ).collect()
+        for r in docs.select("id", tokens("text").alias("t"))
+        .select("id", "t", bigrams("t").alias("b"))
+        .collect()
     }
     assert rows[1][0] == ["the", "cat", "the", "cat", "and", "a_b", "12"]
     assert rows[1][1][:2] == ["the cat", "cat the"] and len(rows[1][1]) == 6
@@ -34,7 +33,7 @@ def test_tokens_and_bigrams(docs):
     assert rows[3] == ([], []) and rows[4] == ([], [])
     assert rows[5][0] == ["été", "dog", "dog"]
     with pytest.raises(ValueError):
-        ngrams(F.col("text"), 3)
+        terms_statement("text", 3, "t")
 
 
 def reference_weights(rows, vocabulary, n_docs, df):
@@ -49,7 +48,7 @@ def reference_weights(rows, vocabulary, n_docs, df):
 
 @pytest.mark.parametrize("n_max", [1, 2])
 def test_tfidf_against_brute_force(docs, n_max):
-    rows = [(r.id, r.t) for r in docs.select("id", ngrams(F.col("text"), n_max).alias("t")).collect()]
+    rows = [(r.id, r.t) for r in terms.terms_stage("text", n_max, "t").transform(docs).collect()]
     counts = Counter(w for _, t in rows for w in t)
     df = Counter(w for _, t in rows for w in set(t))
     stats = {r.term: (r.n, r.df) for r in terms.term_stats(docs, "text", n_max).collect()}

@@ -141,14 +141,19 @@ def test_batch_line_equals_fit_and_score(signal):
         assert got[g].rmse == pytest.approx(math.sqrt((err**2).mean()))
 
 
-def test_text_models(spark):
+def test_text_models(spark, tmp_path):
     good, bad = "bright happy great day", "sad gloomy awful rain"
     rows = [(i, (good if i % 2 else bad) + f" word{i % 5}", i % 2, float(i % 2)) for i in range(60)]
     df = add_split(spark.createDataFrame(rows, "k int, text string, y int, score double"), "k")
     row = train_text(df, "text", "y").metrics.first()
     assert row.accuracy == 1.0 and row.n_classes == 2
-    row = train_text(df, "text", "score", "nlp_regression", n_max=2).metrics.first()
+    fitted = train_text(df, "text", "score", "nlp_regression", n_max=2)
+    row = fitted.metrics.first()
     assert row.r2 > 0.8 and row.accuracy is None
+    fitted.save(str(tmp_path / "model"))
+    new = spark.createDataFrame([("great happy day",), ("awful rain",), (None,)], "text string")
+    high, low, _ = PipelineModel.load(str(tmp_path / "model")).transform(new).collect()
+    assert high.prediction > 0.5 > low.prediction
 
 
 def test_clustering_is_refused(signal):
