@@ -11,8 +11,10 @@ from assay.operators.columns import categorical_columns, numeric_columns, value_
 # Fixed value: fill of a category column that has no values at all.
 UNKNOWN = "unknown"
 
-# Most values one task may hold to find a median; beyond it the range is narrowed first.
+# Most values of a column one task may hold to find a median; beyond it the range is
+# narrowed first. Short columns share a scan up to so many values in all.
 DIRECT_ROWS = 1_000_000
+DIRECT_TOTAL = 4_000_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -49,13 +51,13 @@ def medians(
     df: DataFrame, counts: dict[str, int], direct_rows: int = DIRECT_ROWS
 ) -> dict[str, float | None]:
     """Exact interpolated medians of columns with known non-null counts."""
-    small = [c for c, n in counts.items() if n <= direct_rows]
     found: dict[str, float | None] = {}
-    if small:
-        row = df.agg(*(F.percentile(F.col(c).cast("double"), 0.5) for c in small)).first()
-        found.update(zip(small, row))
-    for column in counts.keys() - set(small):
-        n = counts[column]
+    for batch in _batches({c: n for c, n in counts.items() if n <= direct_rows}):
+        row = df.agg(*(F.percentile(F.col(c).cast("double"), 0.5) for c in batch)).first()
+        found.update(zip(batch, row))
+    for column, n in counts.items():
+        if column in found:
+            continue
         values = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
         low = _value_at(values, (n - 1) // 2, n, direct_rows)
         upto, above = values.agg(
@@ -66,6 +68,19 @@ def medians(
     return found
 
 
+def _batches(counts: dict[str, int]) -> list[list[str]]:
+    """Columns in groups of at most DIRECT_TOTAL values."""
+    groups: list[list[str]] = []
+    room = 0
+    for column, n in counts.items():
+        if not groups or n > room:
+            groups.append([])
+            room = DIRECT_TOTAL
+        groups[-1].append(column)
+        room -= n
+    return groups
+
+
 def modes(counts: DataFrame) -> DataFrame:
     """(column_name, mode) from value counts; ties go to the smallest value."""
     return (

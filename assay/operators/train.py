@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,14 +136,14 @@ def _balance(train: DataFrame, rows: int) -> DataFrame:
     return train.repartition(cores) if have < cores else train
 
 
-def _index_labels(frame: DataFrame, target: str):
-    """Classes as 0..k-1, over the labels of all rows."""
-    classes = frame.select(target).distinct().count()
-    if classes > MAX_CLASSES:
-        raise ValueError(f"target column '{target}' has {classes} classes, more than {MAX_CLASSES}")
-    return StringIndexer(
-        inputCol=target, outputCol="label", stringOrderType="alphabetAsc"
-    ).fit(frame.select(target))
+def _index_labels(frame: DataFrame, target: str) -> StringIndexerModel:
+    """Classes as 0..k-1 in text order, over the labels of all rows."""
+    name = F.col(target).cast("string")
+    rows = frame.select(name.alias("c")).filter("c IS NOT NULL").distinct()
+    labels = sorted(r["c"] for r in rows.limit(MAX_CLASSES + 1).collect())
+    if len(labels) > MAX_CLASSES:
+        raise ValueError(f"target column '{target}' has more than {MAX_CLASSES} classes")
+    return StringIndexerModel.from_labels(labels, inputCol=target, outputCol="label")
 
 
 def train_tabular(

@@ -124,6 +124,12 @@ def test_exact_median_by_narrowing(spark):
             assert found == statistics.median(values), (name, limit)
 
 
+def test_medians_of_many_columns_are_batched():
+    counts = {"a": 3_000_000, "b": 2_000_000, "c": 1_000_000, "d": 5_000_000, "e": 0}
+    assert impute._batches(counts) == [["a"], ["b", "c"], ["d"], ["e"]]
+    assert impute._batches({}) == []
+
+
 def test_mode_ties_and_nulls(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,), (None,), (None,)], "c string")
     found = impute.modes(value_counts(df, ["c"])).collect()

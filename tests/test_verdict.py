@@ -44,8 +44,13 @@ CASES = [
 
 
 def test_verdicts(spark):
-    for task, metrics, verdict, confidence, caveats in CASES:
-        got = judge(spark, task, **metrics)
+    names = ("r2", "rmse", "accuracy", "f1", "n")
+    rows = [
+        (i, task, ["hours"], *(metrics.get(n) for n in names), None)
+        for i, (task, metrics, *_) in enumerate(CASES)
+    ]
+    judged = evaluate(spark.createDataFrame(rows, "i int, " + SCHEMA)).orderBy("i").collect()
+    for got, (task, metrics, verdict, confidence, caveats) in zip(judged, CASES, strict=True):
         assert got.verdict == verdict, (task, metrics)
         assert got.confidence == pytest.approx(confidence), (task, metrics)
         assert 0.0 <= got.confidence <= 1.0
