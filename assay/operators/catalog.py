@@ -4,14 +4,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.keys import cache_key
-from assay.operators.joins import lookup
+from assay.operators.joins import fits_broadcast, lookup, salt
 from assay.schemas import CANDIDATE_SOURCES, SEARCH_SOURCES, SOURCE_RELEVANCE
 
 # Fixed value: candidates kept per source.
 LIMIT_PER_SOURCE = 5
 # Largest k that Spark cuts to inside each task before a window shuffle.
 PRELIMITED_ROWS = 1000
-SALTS = 256
 
 
 def relevance(source: Column) -> Column:
@@ -29,10 +28,9 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) ->
     salted slices of each group, which keeps every row of the true top k.
     """
     if k > PRELIMITED_ROWS:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
         slices = Window.partitionBy(*by, "_salt").orderBy(*order)
         df = (
-            df.withColumn("_salt", salt)
+            df.withColumn("_salt", salt(df))
             .withColumn("_rank", F.row_number().over(slices))
             .filter(F.col("_rank") <= k)
             .drop("_salt", "_rank")
@@ -119,12 +117,14 @@ def split_by_cache(candidates: DataFrame, files: DataFrame) -> tuple[DataFrame,
     """
     keyed = with_cache_key(candidates)
     landed = landed_files(files)
+    small = fits_broadcast(landed)
     hits = (
-        lookup(keyed, landed, "cache_key", "inner")
+        lookup(keyed, landed, "cache_key", "inner", small)
         .withColumn("success", F.lit(True))
         .withColumn("cached", F.lit(True))
     )
-    misses = lookup(keyed, landed.select("cache_key"), "cache_key", "left_anti").withColumn(
+    keys = landed.select("cache_key")
+    misses = lookup(keyed, keys, "cache_key", "left_anti", small).withColumn(
         "error",
         F.when(
             ~F.col("source").isin(CANDIDATE_SOURCES),

@@ -15,6 +15,11 @@ HOT_ROWS = 1_000_000
 SALTS = 256
 
 
+def salt(df: DataFrame, salts: int = SALTS) -> Column:
+    """Even spread of rows that a repeated task reproduces; equal rows differ by their part."""
+    return F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
+
+
 def byte_size(df: DataFrame) -> Column:
     """Rough width of a row: text by its bytes, nested values by their JSON."""
 
@@ -60,8 +65,8 @@ def lookup(
 
     values = [c for c in right.columns if c != key]
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    hot = counts.filter(F.col("_n") > max(hot_rows, int(total * HOT_SHARE))).select(key)
+    bar = max(hot_rows, int(left.count() * HOT_SHARE))
+    hot = counts.filter(F.col("_n") > bar).select(key)
     answers = right.join(F.broadcast(hot), key, "left_semi").select(
         F.col(key).alias("_hot"), F.struct(F.lit(True).alias("_found"), *values).alias("_a")
     )
@@ -76,9 +81,7 @@ def lookup(
         *left.columns,
         "_a",
         F.when(~answered, F.col(key)).alias("_probe"),
-        F.when(answered, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
-        .otherwise(0)
-        .alias("_spread"),
+        F.when(answered, salt(left)).otherwise(0).alias("_spread"),
     )
     joined = keyed.join(
         large,

@@ -32,6 +32,8 @@ SEED = 42
 BOOSTING = {"xgboost": (6, 0.3), "lightgbm": (5, 0.1)}
 FOREST_DEPTH = 10
 
+# Classes of a one-vs-rest model fitted side by side.
+CLASS_FITS = 4
 # Fewest rows worth a task of their own while a fit iterates.
 FIT_ROWS = 20_000
 # Most classes a classifier is fitted for: their labels are held on the driver.
@@ -71,7 +73,9 @@ def build_estimator(
     if not is_class:
         return GBTRegressor(maxIter=n_estimators, maxDepth=depth, stepSize=rate, seed=SEED)
     boosted = GBTClassifier(maxIter=n_estimators, maxDepth=depth, stepSize=rate, seed=SEED)
-    return boosted if classes <= 2 else OneVsRest(classifier=boosted)
+    return boosted if classes <= 2 else OneVsRest(
+        classifier=boosted, parallelism=CLASS_FITS
+    )
 
 
 def logistic(rows: int, iterations: int) -> LogisticRegression:
