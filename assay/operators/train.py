@@ -35,7 +35,7 @@ FOREST_DEPTH = 10
 # Classes of a one-vs-rest model fitted side by side.
 CLASS_FITS = 4
 # Fewest rows worth a task of their own while a fit iterates.
-FIT_ROWS = 20_000
+FIT_ROWS = 100_000
 # Most classes a classifier is fitted for: their labels are held on the driver.
 MAX_CLASSES = 10_000
 
