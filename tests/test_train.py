@@ -32,7 +32,7 @@ def signal(spark):
     ).cache()
 
 
-def test_model_choice():
+def test_model_choice(spark):
     assert isinstance(build_estimator("auto", "regression"), GBTRegressor)
     assert isinstance(build_estimator("bert", "binary_classification"), GBTClassifier)
     assert isinstance(build_estimator("lightgbm", "multiclass_classification", classes=3), OneVsRest)
