@@ -31,8 +31,8 @@ CANDIDATE_BLOCK = 16384
 #: Candidates that a query evaluates before its first stop test; the steps then double.
 FIRST = 128
 HITS = "query_id long, vec_id long, score long"
-#: Sums of products below this are exact in a double.
-EXACT = 2.0**53
+#: Sums of products below these are exact in a double, and in a single.
+EXACT, EXACT_SINGLE = 2.0**53, 2.0**24
 
 
 def integer_vectors(df: DataFrame, vec_id: str, vec: str, scale: int) -> DataFrame:
@@ -71,7 +71,7 @@ def _pack(pivots: dict[int, np.ndarray]):
         vecs = np.array(x["vec"].to_list(), dtype=np.float64).reshape(len(x), dim)
         p = pivots.get(dim, np.zeros((0, dim)))
         with np.errstate(over="ignore", invalid="ignore"):
-            far = np.stack([np.linalg.norm(vecs - q, axis=1) for q in p]) if len(p) else np.zeros((0, len(x)))
+            far = np.array([np.linalg.norm(vecs - q, axis=1) for q in p]).reshape(-1, len(x))
         small = not vecs.size or np.abs(vecs).max() < 2**15
         return pd.DataFrame(
             {
@@ -80,7 +80,7 @@ def _pack(pivots: dict[int, np.ndarray]):
                 "ids": [x["vec_id"].to_numpy(np.int64).tobytes()],
                 "kind": ["i2" if small else "f8"],
                 "vecs": [vecs.astype("i2" if small else "f8").tobytes()],
-                "far": [far.tobytes()],
+                "far": [far.astype(np.float32).tobytes()],
             }
         )
 
@@ -100,7 +100,7 @@ def _unpack(x: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     row = x.iloc[0]
     ids = np.frombuffer(row["ids"], np.int64)
     vecs = np.frombuffer(row["vecs"], row["kind"]).reshape(len(ids), dim).astype(np.float64)
-    far = np.frombuffer(row["far"], np.float64).reshape(-1, len(ids))
+    far = np.frombuffer(row["far"], np.float32).reshape(-1, len(ids))
     return ids, vecs, far
 
 
@@ -128,46 +128,75 @@ def _meet(k: int):
             q_ids, q_vecs, q_far = _unpack(q, dim)
             ids, vecs, far = _unpack(c, dim)
             top = max(np.abs(q_vecs).max(initial=0), np.abs(vecs).max(initial=0))
-            exact = top * top * max(dim, 1) < EXACT
-            norms = (vecs**2).sum(axis=1) if exact else None
+            largest = top * top * max(dim, 1)
+            if largest < EXACT_SINGLE:
+                q_vecs, vecs = q_vecs.astype(np.float32), vecs.astype(np.float32)
+            block = _Block(ids, vecs, far) if largest < EXACT else None
             for i, own in enumerate(q_ids):
-                if exact:
-                    hits, scores = _search(own, q_vecs[i], q_far[:, i], ids, vecs, far, norms, k)
+                if block is not None:
+                    hits, scores = block.search(own, q_vecs[i], q_far[:, i], k)
                 else:
                     hits = np.flatnonzero(ids != own)
                     scores = _all_scores(vecs[hits], q_vecs[i])
                 keep = _best(ids[hits], scores, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[hits[keep]], "score": scores[keep].astype(np.int64)}))
+                out.append(
+                    pd.DataFrame(
+                        {
+                            "query_id": own,
+                            "vec_id": ids[hits[keep]],
+                            "score": scores[keep].astype(np.int64),
+                        }
+                    )
+                )
         return pd.concat(out) if out else pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in HITS.split(", ")})
 
     return meet
 
 
-def _search(own, q, q_far, ids, vecs, far, norms, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Evaluated candidates and their scores; none left out can be among the k best."""
-    size = norms + q @ q
-    bound = size / 2
-    if len(far):
-        bound = bound - np.abs(far - q_far[:, None]).max(axis=0) ** 2 / 2
-    # Distances are rounded; the slack is far above their error and below one unit of score.
-    bound = bound + 1e-9 * size + 1e-6
-    bound[ids == own] = -np.inf
-    left = np.flatnonzero(ids != own)
-    hits, scores, least, step = [], [], -np.inf, FIRST
-    while len(left):
-        left = left[bound[left] >= least]
-        n = min(step, len(left))
-        if not n:
-            break
-        near = np.argpartition(-bound[left], n - 1)
-        now, left, step = left[near[:n]], left[near[n:]], 2 * step
-        hits.append(now)
-        scores.append(vecs[now] @ q)
-        seen = np.concatenate(scores)
-        if len(seen) >= k:
-            least = np.partition(seen, len(seen) - k)[len(seen) - k]
-    none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(hits), np.concatenate(scores)) if hits else (none, none.astype(float))
+class _Block:
+    """Candidates with their pivot table, and room for the bounds of one query at a time."""
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, far: np.ndarray) -> None:
+        self.ids, self.vecs, self.far = ids, vecs, far
+        self.norms = (vecs.astype(np.float64) ** 2).sum(axis=1)
+        self.gap, self.most = np.empty((2, len(ids)), dtype=far.dtype)
+
+    def bounds(self, own: int, q: np.ndarray, q_far: np.ndarray) -> np.ndarray:
+        """No candidate's score is above its bound; the query's own row is out of reach."""
+        self.most[:] = 0
+        for distances, d in zip(self.far, q_far, strict=True):
+            np.subtract(distances, d, out=self.gap)
+            np.abs(self.gap, out=self.gap)
+            np.maximum(self.most, self.gap, out=self.most)
+        size = self.norms + float(np.dot(q.astype(np.float64), q))
+        # Distances are rounded; the slack is above their error.
+        bound = (size - self.most.astype(np.float64) ** 2) / 2 + 1e-5 * size + 1e-6
+        bound[self.ids == own] = -np.inf
+        return bound
+
+    def search(self, own: int, q: np.ndarray, q_far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Evaluated candidates and their scores; none left out can be among the k best."""
+        bound = self.bounds(own, q, q_far)
+        left = np.flatnonzero(bound > -np.inf)
+        hits, scores, least, step = [], [], -np.inf, FIRST
+        while len(left):
+            if 2 * step >= len(left):
+                # The rest of the order fits in one step: no need to sort it.
+                now, left = left, left[:0]
+            else:
+                near = np.argpartition(-bound[left], step - 1)
+                now, left = left[near[:step]], left[near[step:]]
+            # Copying most of the block would cost more than the products it saves.
+            found = (self.vecs @ q)[now] if 4 * len(now) > len(bound) else self.vecs[now] @ q
+            hits.append(now)
+            scores.append(found)
+            seen = np.concatenate(scores)
+            if len(seen) >= k:
+                least = np.partition(seen, len(seen) - k)[len(seen) - k]
+                left = left[bound[left] >= least]
+            step *= 4
+        none = np.zeros(0, dtype=np.int64)
+        return (np.concatenate(hits), np.concatenate(scores)) if hits else (none, none.astype(float))
 
 
 def top_k(
