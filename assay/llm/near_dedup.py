@@ -16,8 +16,9 @@ so a text costs its length plus about M log M.
 Search: equal texts (by 128-bit hash of their words) are one node. A link needs one of the BANDS
 groups of ROWS positions to agree; at similarity 0.8 all groups differ with probability
 (1 - 0.8^5)^32 = 3e-6. A bucket of nodes with an equal group isn't expanded into pairs: nodes are
-compared with one head of the bucket, links are merged into components, and only buckets that
-still hold several components go on, with other heads; after a few rounds all pairs of nodes from
+compared with a head of the bucket, links are merged into components, and only buckets that still
+hold several components go on, with more and other heads (pairs whose whole signatures differ by
+far more than those of linked texts do aren't compared); after a few rounds all pairs of nodes from
 different components that remain in a bucket are compared, so no link between components is lost.
 Pairs inside a component can't change the classes and are not compared.
 
@@ -41,8 +42,14 @@ from assay.scratch import materialize
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
-#: Rounds with one head per bucket before all remaining pairs are compared.
-HEAD_ROUNDS = 3
+#: Heads per bucket in each round, before all pairs that remain are compared. A node is in up to
+#: BANDS buckets, so it meets up to that many heads a round.
+HEADS = (1, 1, 1)
+#: Buckets up to this size are joined with themselves; larger ones meet in blocks of this size.
+SMALL, BLOCK = 24, 256
+#: Positions of M in which linked texts agree: 128 are expected at similarity 0.8, and fewer than
+#: 100 are less likely than 1 in 10^7.
+LEAST_AGREEING = 100
 #: Runs of words whose points are made together.
 CHUNK = 400_000
 WORD = re.compile(r"\w+")
@@ -145,12 +152,17 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key.view(np.int64)
 
 
-SKETCH = "_id long, node string, weight long, bands array<long>"
+def marks_of(signature: np.ndarray) -> np.ndarray:
+    """One byte per position: enough to count agreements."""
+    return (_mix(signature.view(np.uint32).astype(np.uint64)) >> U(56)).astype(np.uint8)
+
+
+SKETCH = "_id long, node string, weight long, bands array<long>, marks binary"
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """_id, node (hash of the words; null where nothing can match), weight and band keys (null
-    where only equal texts can match)."""
+    """_id, node (hash of the words; null where nothing can match), weight, band keys and marks of
+    the signature (null where only equal texts can match)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
@@ -177,7 +189,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
 def _sketch(ids: list, nodes: list, sets: list) -> pd.DataFrame:
     weight = np.array([int(c.sum()) for _, c in sets], dtype=np.int64)
     out = pd.DataFrame({"_id": ids, "node": nodes, "weight": weight})
-    out["bands"] = None
+    out["bands"] = out["marks"] = None
     # A smaller multiset differs from any other by more than a fifth.
     large = np.flatnonzero(weight > 3)
     if len(large):
@@ -185,9 +197,12 @@ def _sketch(ids: list, nodes: list, sets: list) -> pd.DataFrame:
         doc = np.repeat(np.arange(len(large)), sizes)
         h = np.concatenate([sets[i][0] for i in large])
         c = np.concatenate([sets[i][1] for i in large])
-        keys = band_keys(signatures(h, c, doc, len(large)))
-        out["bands"] = pd.Series([None] * len(ids), dtype=object)
-        out.loc[large, "bands"] = pd.Series(list(keys), index=large)
+        signature = signatures(h, c, doc, len(large))
+        values = {"bands": list(band_keys(signature)), "marks": [x.tobytes() for x in marks_of(signature)]}
+        for name, own in values.items():
+            column = pd.Series([None] * len(ids), dtype=object)
+            column.iloc[large] = pd.Series(own, dtype=object)
+            out[name] = column
     return out
 
 
@@ -277,6 +292,35 @@ def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(several.filter("_low != _high").select("key"), "key", "left_semi")
 
 
+def _head_pairs(buckets: DataFrame, step: int, n: int, similarity: float) -> DataFrame:
+    """Pairs of a node and one of up to n heads of its bucket (each the first in an order of its
+    own) that are of different components and whose sizes and whole signatures allow a link. A
+    bucket's heads come to its nodes as one row, so only pairs that may be links are rows."""
+    node = F.struct("_id", "label", "weight", "marks")
+    firsts = [F.min_by(node, F.struct(F.xxhash64("_id", F.lit(step), F.lit(i)), "_id")) for i in range(n)]
+    heads = buckets.groupBy("key").agg(F.array_distinct(F.array(*firsts)).alias("_h"))
+    heads = heads.select("key", *(F.col(f"_h.{c}").alias(f"h_{c}") for c in ("_id", "label", "weight", "marks")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if not len(x):
+                continue
+            sizes = x["h__id"].map(len).to_numpy()
+            row = np.repeat(np.arange(len(x)), sizes)
+            ids, labels, weights = (np.concatenate(x[f"h_{c}"].to_list()) for c in ("_id", "label", "weight"))
+            heads = np.frombuffer(b"".join(m for own in x["h_marks"] for m in own), np.uint8).reshape(len(row), -1)
+            own = np.frombuffer(b"".join(x["marks"]), np.uint8).reshape(len(x), -1)
+            weight = x["weight"].to_numpy()[row]
+            fits = (own[row] == heads).sum(axis=1) >= LEAST_AGREEING
+            fits &= x["label"].to_numpy()[row] != labels
+            fits &= np.minimum(weight, weights) >= similarity * np.maximum(weight, weights) - 1e-9
+            left, right = x["_id"].to_numpy()[row[fits]], ids[fits]
+            yield pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)}).drop_duplicates()
+
+    met = buckets.join(heads, "key").drop("key")
+    return met.mapInPandas(run, "a long, b long").distinct()
+
+
 def _pairs(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
     """Pairs from one bucket and different components whose sizes allow a link."""
     a = left.select("key", F.col("_id").alias("a"), F.col("label").alias("_la"), F.col("weight").alias("_wa"))
@@ -286,13 +330,48 @@ def _pairs(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
     return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _all_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of nodes of different components in a bucket. Small buckets are joined with
+    themselves; large ones, of texts that share a passage, say, meet block by block inside a task,
+    which gives out only pairs whose whole signatures agree as those of linked texts do."""
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("_n"))
+    small = buckets.join(sizes.filter(F.col("_n") <= SMALL).select("key"), "key", "left_semi")
+    large = buckets.join(sizes.filter(F.col("_n") > SMALL), "key")
+    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    rows = large.withColumn("part", F.pmod(F.xxhash64("_id", F.lit(9)), blocks).cast("int")).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0), blocks - 1))
+    )
+    rows = rows.select(
+        "key", F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"), "part", "_id", "label", "weight", "marks"
+    )
+
+    def meet(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        left, right = x[x["part"] == key[1]], x[x["part"] == key[2]]
+        found = [_agreeing(left.iloc[a : a + 64], right, similarity) for a in range(0, len(left), 64)]
+        return pd.concat([pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")}), *found])
+
+    screened = rows.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long")
+    return _pairs(small, small, similarity).unionByName(screened).distinct()
+
+
+def _agreeing(left: pd.DataFrame, right: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    a, b = (np.frombuffer(b"".join(x["marks"]), np.uint8).reshape(len(x), -1) for x in (left, right))
+    same = (a[:, None, :] == b[None, :, :]).sum(axis=2) >= LEAST_AGREEING
+    wa, wb = left["weight"].to_numpy()[:, None], right["weight"].to_numpy()[None, :]
+    same &= np.minimum(wa, wb) >= similarity * np.maximum(wa, wb) - 1e-9
+    same &= left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :]
+    i, j = np.nonzero(same)
+    x, y = left["_id"].to_numpy()[i], right["_id"].to_numpy()[j]
+    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
     words: int = WORDS,
     similarity: float = SIMILARITY,
-    head_rounds: int = HEAD_ROUNDS,
+    heads: tuple[int, ...] = HEADS,
 ) -> DataFrame:
     """doc_id and class_id (smallest doc_id of its class) of every document that has an id."""
     if similarity < SIMILARITY:
@@ -301,13 +380,17 @@ def near_duplicates(
     sketch = materialize(sketches(docs, doc_id, text, words), "sketches")
     # Rows of one id, then equal texts, are tied to their smallest id.
     nodes = materialize(
-        sketch.filter("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("head"), F.first("weight").alias("weight"), F.first("bands").alias("bands")),
+        sketch.filter("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("head"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("marks").alias("marks")),
         "nodes",
     )
     banded = nodes.filter("bands IS NOT NULL").select(F.col("head").alias("_id"), "weight", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).filter("_low != _high")
     buckets = materialize(
-        banded.join(shared.select("key"), "key", "left_semi").withColumn("label", F.col("_id")), "buckets"
+        # Marks come last: most nodes share no bucket.
+        banded.join(shared.select("key"), "key", "left_semi")
+        .join(nodes.select(F.col("head").alias("_id"), "marks"), "_id")
+        .withColumn("label", F.col("_id")),
+        "buckets",
     )
     asked = buckets.select("_id").distinct()
     texts = docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
@@ -315,20 +398,18 @@ def near_duplicates(
     multisets = materialize(_multisets(texts, doc_id, text, words), "multisets")
     none = docs.sparkSession.createDataFrame([], "a long, b long")
     links, tried = none, none
-    for step in range(head_rounds + 1):
+    for step in range(len(heads) + 1):
         if buckets.isEmpty():
             break
-        if step < head_rounds:
-            order = F.struct(F.xxhash64("_id", F.lit(step)).alias("h"), "_id", "label", "weight")
-            heads = buckets.groupBy("key").agg(F.min(order).alias("_h")).select("key", "_h._id", "_h.label", "_h.weight")
-            pairs = _pairs(buckets, heads, similarity)
+        if step < len(heads):
+            pairs = _head_pairs(buckets, step, heads[step], similarity)
         else:
-            pairs = _pairs(buckets, buckets, similarity)
+            pairs = _all_pairs(buckets, similarity)
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = linked(pairs, multisets, similarity)
         links = materialize(links.unionByName(found), "links")
         tried = tried.unionByName(pairs)
-        if step < head_rounds:
+        if step < len(heads):
             buckets = materialize(_labelled(buckets, components(links)), "buckets")
     copies = sketch.filter("node IS NOT NULL").join(nodes.select("node", "head"), "node").select("_id", "head")
     repeated = copies.filter("_id != head").select(F.col("_id").alias("a"), F.col("head").alias("b"))
