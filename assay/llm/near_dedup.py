@@ -42,9 +42,9 @@ from assay.scratch import materialize
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
-#: Heads per bucket in each round, before all pairs that remain are compared. A node is in up to
-#: BANDS buckets, so it meets up to that many heads a round.
-HEADS = (1, 1, 1)
+#: Heads per bucket in each round, before all pairs that remain are compared. Large buckets mostly
+#: hold variants of one text, and a variant misses all of several heads ever less often.
+HEADS = (1, 6, 6, 6)
 #: Buckets up to this size are joined with themselves; larger ones meet in blocks of this size.
 SMALL, BLOCK = 24, 256
 #: Positions of M in which linked texts agree: 128 are expected at similarity 0.8, and fewer than
