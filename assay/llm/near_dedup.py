@@ -18,9 +18,11 @@ groups of ROWS positions to agree; at similarity 0.8 all groups differ with prob
 (1 - 0.8^5)^32 = 3e-6. A bucket of nodes with an equal group isn't expanded into pairs: nodes are
 compared with a head of the bucket, links are merged into components, and only buckets that still
 hold several components go on, with more and other heads (pairs whose whole signatures differ by
-far more than those of linked texts do aren't compared); after a few rounds all pairs of nodes from
-different components that remain in a bucket are compared, so no link between components is lost.
-Pairs inside a component can't change the classes and are not compared.
+far more than those of linked texts do aren't compared); then all pairs of nodes from different
+components that remain in a bucket meet in blocks inside a task, so no link between components is
+lost. For this last step the nodes that are left get a finer signature (FINE positions), and only
+pairs that agree in it as linked texts do become rows and are compared. Pairs inside a component
+can't change the classes and are not compared.
 
 Edge cases: null texts and texts without words are in classes of their own, except that non-blank
 texts without words are one class where they are equal. Texts of up to three runs only match equal
@@ -44,12 +46,15 @@ BANDS, ROWS = 32, 5
 M = BANDS * ROWS
 #: Heads per bucket in each round, before all pairs that remain are compared. Large buckets mostly
 #: hold variants of one text, and a variant misses all of several heads ever less often.
-HEADS = (1, 6, 6, 6)
-#: Buckets up to this size are joined with themselves; larger ones meet in blocks of this size.
-SMALL, BLOCK = 24, 256
-#: Positions of M in which linked texts agree: 128 are expected at similarity 0.8, and fewer than
-#: 100 are less likely than 1 in 10^7.
-LEAST_AGREEING = 100
+HEADS = (1, 6)
+#: Nodes of a bucket meet in blocks of about this size.
+BLOCK = 256
+#: Positions of the signature that screens the last step.
+FINE = 1024
+#: Positions of M and of FINE in which linked texts agree at least. At similarity 0.8 the expected
+#: numbers are 130 and 832 (four bits of a position are kept); fewer than these are less likely than
+#: 1 in 10^6.
+LEAST_AGREEING, LEAST_FINE = 100, 766
 #: Runs of words whose points are made together.
 CHUNK = 400_000
 WORD = re.compile(r"\w+")
@@ -153,8 +158,22 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def marks_of(signature: np.ndarray) -> np.ndarray:
-    """One byte per position: enough to count agreements."""
-    return (_mix(signature.view(np.uint32).astype(np.uint64)) >> U(56)).astype(np.uint8)
+    """Four bits per position, two positions a byte: enough to count agreements."""
+    bits = (_mix(signature.view(np.uint32).astype(np.uint64)) >> U(60)).astype(np.uint8)
+    return bits[:, ::2] << 4 | bits[:, 1::2]
+
+
+#: Agreeing positions in the difference of two bytes of marks.
+AGREEING = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], dtype=np.uint8)
+
+
+def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many positions marks agree."""
+    return AGREEING[a ^ b].sum(axis=-1, dtype=np.int64)
+
+
+def _marks(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
 
 
 SKETCH = "_id long, node string, weight long, bands array<long>, marks binary"
@@ -225,6 +244,24 @@ def _multisets(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame
     return rows.mapInPandas(run, "_id long, runs binary, counts binary")
 
 
+def _fine_marks(multisets: DataFrame) -> DataFrame:
+    """_id with the marks of a finer signature."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                runs = [np.frombuffer(x, np.uint64) for x in part["runs"]]
+                counts = np.concatenate([np.frombuffer(x, np.int32) for x in part["counts"]])
+                doc = np.repeat(np.arange(len(part)), [len(x) for x in runs])
+                # Other points than those of the first signature.
+                hashes = _mix(np.concatenate(runs) ^ U(FINE))
+                marks = marks_of(signatures(hashes, counts, doc, len(part), FINE))
+                yield pd.DataFrame({"_id": part["_id"], "marks": [x.tobytes() for x in marks]})
+
+    return multisets.mapInPandas(run, "_id long, marks binary")
+
+
 def overlap(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> tuple[int, int]:
     """Sums of the smaller and of the larger counts."""
     h1, h2 = np.frombuffer(a[0], np.uint64), np.frombuffer(b[0], np.uint64)
@@ -308,10 +345,9 @@ def _head_pairs(buckets: DataFrame, step: int, n: int, similarity: float) -> Dat
             sizes = x["h__id"].map(len).to_numpy()
             row = np.repeat(np.arange(len(x)), sizes)
             ids, labels, weights = (np.concatenate(x[f"h_{c}"].to_list()) for c in ("_id", "label", "weight"))
-            heads = np.frombuffer(b"".join(m for own in x["h_marks"] for m in own), np.uint8).reshape(len(row), -1)
-            own = np.frombuffer(b"".join(x["marks"]), np.uint8).reshape(len(x), -1)
+            heads = _marks(x["h_marks"].explode())
             weight = x["weight"].to_numpy()[row]
-            fits = (own[row] == heads).sum(axis=1) >= LEAST_AGREEING
+            fits = agreements(_marks(x["marks"])[row], heads) >= LEAST_AGREEING
             fits &= x["label"].to_numpy()[row] != labels
             fits &= np.minimum(weight, weights) >= similarity * np.maximum(weight, weights) - 1e-9
             left, right = x["_id"].to_numpy()[row[fits]], ids[fits]
@@ -321,48 +357,61 @@ def _head_pairs(buckets: DataFrame, step: int, n: int, similarity: float) -> Dat
     return met.mapInPandas(run, "a long, b long").distinct()
 
 
-def _pairs(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
-    """Pairs from one bucket and different components whose sizes allow a link."""
-    a = left.select("key", F.col("_id").alias("a"), F.col("label").alias("_la"), F.col("weight").alias("_wa"))
-    b = right.select("key", F.col("_id").alias("b"), F.col("label").alias("_lb"), F.col("weight").alias("_wb"))
-    fits = F.least("_wa", "_wb") >= similarity * F.greatest("_wa", "_wb") - 1e-9
-    rows = a.join(b, "key").filter((F.col("_la") != F.col("_lb")) & fits)
-    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _all_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of nodes of different components in a bucket. Small buckets are joined with
-    themselves; large ones, of texts that share a passage, say, meet block by block inside a task,
-    which gives out only pairs whose whole signatures agree as those of linked texts do."""
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("_n"))
-    small = buckets.join(sizes.filter(F.col("_n") <= SMALL).select("key"), "key", "left_semi")
-    large = buckets.join(sizes.filter(F.col("_n") > SMALL), "key")
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    rows = large.withColumn("part", F.pmod(F.xxhash64("_id", F.lit(9)), blocks).cast("int")).withColumn(
-        "_other", F.explode(F.sequence(F.lit(0), blocks - 1))
+def _all_pairs(buckets: DataFrame, multisets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of nodes of different components in a bucket whose sizes and fine signatures allow a
+    link. The nodes of a bucket meet block by block; a task holds two blocks at a time."""
+    asked = multisets.join(buckets.select("_id").distinct(), "_id", "left_semi")
+    fine = materialize(_fine_marks(asked), "fine")
+    sizes = buckets.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    rows = buckets.select("key", "_id", "label", "weight").join(sizes, "key")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("_id", F.lit(9)), "_blocks").cast("int")).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     )
     rows = rows.select(
-        "key", F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"), "part", "_id", "label", "weight", "marks"
+        "key", F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"), "part", "_id", "label", "weight"
     )
 
-    def meet(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        left, right = x[x["part"] == key[1]], x[x["part"] == key[2]]
-        found = [_agreeing(left.iloc[a : a + 64], right, similarity) for a in range(0, len(left), 64)]
-        return pd.concat([pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")}), *found])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for x in batches:
+            x = x if rest is None else pd.concat([rest, x], ignore_index=True)
+            if not len(x):
+                continue
+            names = x[["key", "i", "j"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1)])
+            # The last meeting may go on in the next batch.
+            found = [_meet(x.iloc[a:b], similarity) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            rest = x.iloc[starts[-1] :]
+            yield _one_table(found)
+        if rest is not None:
+            yield _one_table([_meet(rest, similarity)])
+
+    order = ["key", "i", "j"]
+    met = rows.join(fine, "_id").repartition(*order).sortWithinPartitions(*order)
+    return met.mapInPandas(run, "a long, b long").distinct()
+
 
-    screened = rows.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long")
-    return _pairs(small, small, similarity).unionByName(screened).distinct()
+def _one_table(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    none = np.zeros(0, dtype=np.int64)
+    a, b = (np.concatenate([none, *(x[i] for x in found)]) for i in (0, 1))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
-def _agreeing(left: pd.DataFrame, right: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    a, b = (np.frombuffer(b"".join(x["marks"]), np.uint8).reshape(len(x), -1) for x in (left, right))
-    same = (a[:, None, :] == b[None, :, :]).sum(axis=2) >= LEAST_AGREEING
-    wa, wb = left["weight"].to_numpy()[:, None], right["weight"].to_numpy()[None, :]
-    same &= np.minimum(wa, wb) >= similarity * np.maximum(wa, wb) - 1e-9
-    same &= left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :]
-    i, j = np.nonzero(same)
-    x, y = left["_id"].to_numpy()[i], right["_id"].to_numpy()[j]
-    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+def _meet(x: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pairs of one block with itself or another that may be links."""
+    part, i, j = x["part"].to_numpy(), x["i"].iat[0], x["j"].iat[0]
+    ids, labels, weights = (x[c].to_numpy() for c in ("_id", "label", "weight"))
+    left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+    fits = (labels[a] != labels[b]) & (ids[a] < ids[b] if i == j else True)
+    fits &= np.minimum(weights[a], weights[b]) >= similarity * np.maximum(weights[a], weights[b]) - 1e-9
+    a, b = a[fits], b[fits]
+    if not len(a):
+        return ids[a], ids[b]
+    marks = _marks(x["marks"])
+    keep = [agreements(marks[a[at : at + 4096]], marks[b[at : at + 4096]]) for at in range(0, len(a), 4096)]
+    may = np.concatenate(keep) >= LEAST_FINE
+    return ids[a[may]], ids[b[may]]
 
 
 def near_duplicates(
@@ -404,7 +453,7 @@ def near_duplicates(
         if step < len(heads):
             pairs = _head_pairs(buckets, step, heads[step], similarity)
         else:
-            pairs = _all_pairs(buckets, similarity)
+            pairs = _all_pairs(buckets, multisets, similarity)
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = linked(pairs, multisets, similarity)
         links = materialize(links.unionByName(found), "links")
