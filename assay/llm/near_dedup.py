@@ -282,6 +282,8 @@ def linked(pairs: DataFrame, multisets: DataFrame, similarity: float) -> DataFra
             out.append(common >= similarity * union - 1e-9)
         return pd.Series(out, dtype=bool)
 
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "asked")
+    multisets = multisets.join(asked, "_id", "left_semi")
     left = multisets.select(F.col("_id").alias("a"), F.col("runs").alias("ra"), F.col("counts").alias("ca"))
     right = multisets.select(F.col("_id").alias("b"), F.col("runs").alias("rb"), F.col("counts").alias("cb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -360,8 +362,8 @@ def _head_pairs(buckets: DataFrame, step: int, n: int, similarity: float) -> Dat
 def _all_pairs(buckets: DataFrame, multisets: DataFrame, similarity: float) -> DataFrame:
     """Pairs of nodes of different components in a bucket whose sizes and fine signatures allow a
     link. The nodes of a bucket meet block by block; a task holds two blocks at a time."""
-    asked = multisets.join(buckets.select("_id").distinct(), "_id", "left_semi")
-    fine = materialize(_fine_marks(asked), "fine")
+    asked = materialize(buckets.select("_id").distinct(), "asked")
+    fine = materialize(_fine_marks(multisets.join(asked, "_id", "left_semi")), "fine")
     sizes = buckets.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
     rows = buckets.select("key", "_id", "label", "weight").join(sizes, "key")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("_id", F.lit(9)), "_blocks").cast("int")).withColumn(
@@ -441,7 +443,8 @@ def near_duplicates(
         .withColumn("label", F.col("_id")),
         "buckets",
     )
-    asked = buckets.select("_id").distinct()
+    # Ids written alone have a known size: Spark broadcasts them if they are few.
+    asked = materialize(buckets.select("_id").distinct(), "asked")
     texts = docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     texts = texts.join(asked, F.col(doc_id).cast("long") == F.col("_id"), "left_semi")
     multisets = materialize(_multisets(texts, doc_id, text, words), "multisets")
