@@ -46,7 +46,7 @@ BANDS, ROWS = 32, 5
 M = BANDS * ROWS
 #: Heads per bucket in each round, before all pairs that remain are compared. Large buckets mostly
 #: hold variants of one text, and a variant misses all of several heads ever less often.
-HEADS = (1, 6)
+HEADS = (1, 3)
 #: Nodes of a bucket meet in blocks of about this size.
 BLOCK = 256
 #: Positions of the signature that screens the last step.
@@ -359,11 +359,13 @@ def _head_pairs(buckets: DataFrame, step: int, n: int, similarity: float) -> Dat
     return met.mapInPandas(run, "a long, b long").distinct()
 
 
-def _all_pairs(buckets: DataFrame, multisets: DataFrame, similarity: float) -> DataFrame:
+def _all_pairs(buckets: DataFrame, nodes: DataFrame, multisets: DataFrame, similarity: float) -> DataFrame:
     """Pairs of nodes of different components in a bucket whose sizes and fine signatures allow a
-    link. The nodes of a bucket meet block by block; a task holds two blocks at a time."""
+    link. The nodes of a bucket meet block by block; a task holds two blocks at a time. A pair is
+    given out once, by the first bucket that it shares: of different components, it remains in all."""
     asked = materialize(buckets.select("_id").distinct(), "asked")
-    fine = materialize(_fine_marks(multisets.join(asked, "_id", "left_semi")), "fine")
+    bands = nodes.select(F.col("head").alias("_id"), "bands").join(asked, "_id", "left_semi")
+    fine = materialize(_fine_marks(multisets.join(asked, "_id", "left_semi")).join(bands, "_id"), "fine")
     sizes = buckets.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
     rows = buckets.select("key", "_id", "label", "weight").join(sizes, "key")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("_id", F.lit(9)), "_blocks").cast("int")).withColumn(
@@ -390,13 +392,13 @@ def _all_pairs(buckets: DataFrame, multisets: DataFrame, similarity: float) -> D
 
     order = ["key", "i", "j"]
     met = rows.join(fine, "_id").repartition(*order).sortWithinPartitions(*order)
-    return met.mapInPandas(run, "a long, b long").distinct()
+    return met.mapInPandas(run, "a long, b long")
 
 
 def _one_table(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
     none = np.zeros(0, dtype=np.int64)
     a, b = (np.concatenate([none, *(x[i] for x in found)]) for i in (0, 1))
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def _meet(x: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -413,7 +415,13 @@ def _meet(x: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     marks = _marks(x["marks"])
     keep = [agreements(marks[a[at : at + 4096]], marks[b[at : at + 4096]]) for at in range(0, len(a), 4096)]
     may = np.concatenate(keep) >= LEAST_FINE
-    return ids[a[may]], ids[b[may]]
+    a, b = a[may], b[may]
+    if not len(a):
+        return ids[a], ids[b]
+    bands = np.stack(x["bands"].to_list())
+    first = (bands[a] == bands[b]).argmax(axis=1)
+    here = bands[a, first] == x["key"].iat[0]
+    return ids[a[here]], ids[b[here]]
 
 
 def near_duplicates(
@@ -456,7 +464,7 @@ def near_duplicates(
         if step < len(heads):
             pairs = _head_pairs(buckets, step, heads[step], similarity)
         else:
-            pairs = _all_pairs(buckets, multisets, similarity)
+            pairs = _all_pairs(buckets, nodes, multisets, similarity)
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = linked(pairs, multisets, similarity)
         links = materialize(links.unionByName(found), "links")
