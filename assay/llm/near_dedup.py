@@ -282,7 +282,8 @@ def linked(pairs: DataFrame, multisets: DataFrame, similarity: float) -> DataFra
             out.append(common >= similarity * union - 1e-9)
         return pd.Series(out, dtype=bool)
 
-    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "asked")
+    ends = [pairs.select(F.col(c).alias("_id")).distinct() for c in "ab"]
+    asked = materialize(ends[0].unionByName(ends[1]).distinct(), "asked")
     multisets = multisets.join(asked, "_id", "left_semi")
     left = multisets.select(F.col("_id").alias("a"), F.col("runs").alias("ra"), F.col("counts").alias("ca"))
     right = multisets.select(F.col("_id").alias("b"), F.col("runs").alias("rb"), F.col("counts").alias("cb"))
