@@ -56,10 +56,10 @@ FINE = 1024
 #: 1 in 10^6.
 LEAST_AGREEING, LEAST_FINE = 100, 766
 #: Runs of words whose points are made together.
-CHUNK = 400_000
+CHUNK = 150_000
 WORD = re.compile(r"\w+")
 #: Word hashes that a worker remembers.
-CACHE = 1_000_000
+CACHE = 250_000
 U = np.uint64
 
 

@@ -79,7 +79,7 @@ EDGE = re.compile(r"^\W+|\W+$")
 STRETCHED = re.compile(r"(\w)\1\1")
 INNER = re.compile(r"[^\w]")
 #: Tokens whose features a worker remembers.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def entries_of(word: str) -> list[str]:
