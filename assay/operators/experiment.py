@@ -2,15 +2,16 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.operators.answers import evaluate, with_report
-from assay.operators.columns import text_column
+from assay.operators.columns import select_features, text_column
 from assay.operators.prepare import Prepared, prepare
 from assay.operators.train import TREES, Trained, train
 from assay.schemas import METRICS, RUN_EVENT, TEXT_TASKS
-from assay.sources.records import append_events
+from assay.sources.records import append_events, read_events
 
 # Fixed value: metric columns that a run record merges.
 NUMBERS = ["r2", "rmse", "accuracy", "f1", "n_classes"]
@@ -27,6 +28,8 @@ class Plan:
     task_type: str
     feature_variables: list[str]
     model_type: str = "auto"
+    #: Text tasks: the text to learn from; else the first string column among the features.
+    text_column: str | None = None
 
 
 @dataclass(frozen=True)
@@ -47,19 +50,24 @@ def run_experiment(
     test_size: float = 0.2,
     event_log: str | None = None,
 ) -> Outcome:
-    """Prepare, train and score. A failure is a `failed` event and an error, not an exception."""
+    """Prepare, train and score. A failure is a `failed` event and an error, not an exception.
+
+    Events are numbered on from the last one of the run in the log, so a repeated run comes later.
+    """
     spark = df.sparkSession
+    before = last_event(spark, event_log, plan.id) if event_log is not None else 0
 
     def log(seq: int, status: str, error: str | None = None, metrics: dict | None = None):
         if event_log is not None:
-            event = (plan.id, seq, status, metrics or {}, error)
+            event = (plan.id, before + seq, status, metrics or {}, error)
             append_events(spark.createDataFrame([event], RUN_EVENT), event_log)
 
     try:
         log(1, "preparing")
         text = None
         if plan.task_type in TEXT_TASKS:
-            text = [text_column(df, plan.target_variable)]
+            known = select_features(df, plan.feature_variables or None, plan.target_variable)
+            text = [text_column(known, plan.target_variable, plan.text_column)]
         prepared = prepare(
             df,
             plan.target_variable,
@@ -84,6 +92,17 @@ def run_experiment(
         return Outcome(None, None, spark.createDataFrame([], METRICS), error)
 
 
+def last_event(spark: SparkSession, event_log: str, run_id: str) -> int:
+    """Number of the last event of a run; 0 without one."""
+    try:
+        events = read_events(spark, event_log)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    return events.filter(F.col("run_id") == run_id).agg(F.max("seq")).first()[0] or 0
+
+
 def answer_plan(plan: Plan, metrics: DataFrame, tracker_url: str | None = None) -> DataFrame:
     """The answer row of one experiment."""
     row = metrics.select(

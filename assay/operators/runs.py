@@ -25,11 +25,13 @@ def latest_runs(events: DataFrame) -> DataFrame:
     """(run_id, status, error, seq): last status, last error that was set.
 
     A single aggregate without a window, so a run with very many events is
-    reduced inside each task.
+    reduced inside each task. Of events with one number the later status, and
+    the greater error text, counts, whatever the row order.
     """
+    code = status_code(F.col("status"))
     found = events.groupBy("run_id").agg(
-        F.max_by(status_code(F.col("status")), F.col("seq")).alias("_code"),
-        F.max_by("error", F.when(F.col("error").isNotNull(), F.col("seq"))).alias("error"),
+        F.max_by(code, F.struct("seq", code)).alias("_code"),
+        F.max_by("error", F.when(F.col("error").isNotNull(), F.struct("seq", "error"))).alias("error"),
         F.max("seq").alias("seq"),
     )
     return found.select("run_id", status_name(F.col("_code")).alias("status"), "error", "seq")
@@ -38,7 +40,7 @@ def latest_runs(events: DataFrame) -> DataFrame:
 def merged_metrics(events: DataFrame) -> DataFrame:
     """(run_id, name, value): per metric the value set last."""
     values = events.select("run_id", "seq", F.explode("metrics").alias("name", "value"))
-    return values.groupBy("run_id", "name").agg(F.max_by("value", "seq").alias("value"))
+    return values.groupBy("run_id", "name").agg(F.max_by("value", F.struct("seq", "value")).alias("value"))
 
 
 def metrics_table(merged: DataFrame, names: list[str]) -> DataFrame:

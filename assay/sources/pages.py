@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 # Anchors, result blocks and the entities of plain text.
 ANCHOR = r"""(?is)(<a\b[^>]*?\bhref\s*=\s*["'][^"']+["'][^>]*>.*?</a>)"""
 RESULT_ANCHOR = (
-    r"""(?is)class\s*=\s*["'](?:[^"']*\s)?%s(?:\s[^"']*)?["'][^>]*>[^<]*?"""
+    r"""(?is)class\s*=\s*["'](?:[^"']*\s)?%s(?:\s[^"']*)?["'][^>]*>(?:[^<]|<(?!/|a\b)[^>]*>)*?"""
     r"""(<a\b[^>]*?\bhref\s*=\s*["'][^"']+["'][^>]*>.*?</a>)"""
 )
 HREF = r"""(?is)^<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["']"""

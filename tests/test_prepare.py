@@ -8,52 +8,52 @@ from assay.operators.columns import text_column, value_counts
 from assay.operators.prepare import prepare, quality
 
 
-def test_profile_of_the_raw_table(with_gaps):
-    ready = prepare(with_gaps, "target", "regression", ["feature_a", "feature_b"], key="row_id")
+def test_profile_of_the_raw_table(plots):
+    ready = prepare(plots, "harvest", "regression", ["depth_m", "soil"], key="plot_id")
     rows = {r.column_name: r for r in ready.columns_profile().collect()}
-    assert rows["feature_a"].null_pct == pytest.approx(0.4)
-    assert rows["feature_b"].null_pct == pytest.approx(0.2)
-    assert rows["feature_b"].unique_count == 2
-    assert rows["feature_a"].dtype == "double"
+    assert rows["depth_m"].null_pct == pytest.approx(1 / 3)
+    assert rows["soil"].null_pct == pytest.approx(1 / 6)
+    assert rows["soil"].unique_count == 3
+    assert rows["depth_m"].dtype == "double"
     moments = {r.name: r.value for r in ready.target_distribution().collect()}
-    assert moments["mean"] == 30 and moments["min"] == 10 and moments["max"] == 50
-    assert moments["std"] == pytest.approx(15.8113883)
+    assert moments["mean"] == 13 and moments["min"] == 3 and moments["max"] == 23
+    assert moments["std"] == pytest.approx(7.48331477)
     summary = ready.dataset_profile().first()
-    assert summary.num_rows == 5
-    assert summary.warnings == ["Small dataset: only 5 rows. Results may not be reliable."]
+    assert summary.num_rows == 6
+    assert summary.warnings == ["Small dataset: only 6 rows. Results may not be reliable."]
 
 
-def test_fills_and_codes(with_gaps):
-    ready = prepare(with_gaps, "target", "regression", ["feature_a", "feature_b"], key="row_id")
-    rows = ready.frame.orderBy("row_id").collect()
-    assert [r.feature_a for r in rows] == [1.0, 3.0, 3.0, 4.0, 3.0]
-    # x and y are tied, the smaller fills; x = 0, y = 1.
-    assert [r.feature_b for r in rows] == [0, 1, 0, 0, 1]
+def test_fills_and_codes(plots):
+    ready = prepare(plots, "harvest", "regression", ["depth_m", "soil"], key="plot_id")
+    rows = ready.frame.orderBy("plot_id").collect()
+    assert [r.depth_m for r in rows] == [5.5, 2.5, 8.5, 5.5, 4.5, 6.5]
+    # clay and sand are tied, the smaller fills; clay = 0, loam = 1, sand = 2.
+    assert [r.soil for r in rows] == [0, 2, 0, 2, 0, 1]
     assert all(
         r.is_numeric and r.nulls == 0
         for r in quality(ready.frame, [*ready.features, ready.target]).collect()
     )
 
 
-def test_split_sizes_and_features(grades):
-    ready = prepare(grades, "gpa", "regression", ["hours_exercise"], key="row_id")
+def test_split_sizes_and_features(gauges):
+    ready = prepare(gauges, "level", "regression", ["rain_mm"], key="site_id")
     assert ready.train.count() == 8 and ready.test.count() == 2
-    assert ready.train.columns == ["row_id", "hours_exercise", "gpa"]
+    assert ready.train.columns == ["site_id", "rain_mm", "level"]
     x, y = ready.xy("train")
-    assert x.columns == ["row_id", "hours_exercise"] and y.columns == ["row_id", "gpa"]
+    assert x.columns == ["site_id", "rain_mm"] and y.columns == ["site_id", "level"]
     assert x.count() == y.count() == 8
 
 
-def test_missing_columns_are_named(grades):
-    with pytest.raises(ValueError, match="target column 'nope' not found.*age"):
-        prepare(grades, "nope", "regression")
+def test_missing_columns_are_named(gauges):
+    with pytest.raises(ValueError, match="target column 'nope' not found.*wind"):
+        prepare(gauges, "nope", "regression")
     with pytest.raises(ValueError, match=r"Feature columns not found: \['nope'\]"):
-        prepare(grades, "gpa", "regression", ["nope"])
+        prepare(gauges, "level", "regression", ["nope"])
 
 
-def test_text_target_of_a_regression_is_refused(with_gaps):
+def test_text_target_of_a_regression_is_refused(plots):
     with pytest.raises(ValueError, match="numeric"):
-        prepare(with_gaps, "feature_b", "regression")
+        prepare(plots, "soil", "regression")
 
 
 def test_booleans_dates_and_empty_columns(spark):
@@ -77,11 +77,11 @@ def test_booleans_dates_and_empty_columns(spark):
     assert [r["y"] for r in got] == [0, 1, 0]
 
 
-def test_imputed_targets_are_reported(with_gaps):
-    df = with_gaps.withColumn("target", F.when(F.col("row_id") != 0, F.col("target")))
-    ready = prepare(df, "target", "regression", key="row_id")
+def test_imputed_targets_are_reported(plots):
+    df = plots.withColumn("harvest", F.when(F.col("plot_id") != 0, F.col("harvest")))
+    ready = prepare(df, "harvest", "regression", key="plot_id")
     assert ready.warnings == ["1 missing target values were imputed."]
-    assert ready.frame.filter("row_id = 0").first().target == 35.0
+    assert ready.frame.filter("plot_id = 0").first().harvest == 15.0
 
 
 def test_fit_on_train_only(spark):
@@ -93,8 +93,8 @@ def test_fit_on_train_only(spark):
     assert {r.c for r in ready.test.collect()} == {0}
 
 
-def test_roundtrip_by_split(spark, tmp_path, grades):
-    ready = prepare(grades, "gpa", "regression", key="row_id")
+def test_roundtrip_by_split(spark, tmp_path, gauges):
+    ready = prepare(gauges, "level", "regression", key="site_id")
     for fmt in ("parquet", "csv"):
         path = str(tmp_path / fmt)
         ready.write(path, fmt)

@@ -87,7 +87,7 @@ def test_keys(spark):
 def test_result_blocks(spark):
     html = (
         '<div class="result__title"><a class="x" href="https://h/a?b=1&amp;c=2"> Example <b>Data'
-        '</b></a></div><a href="/other">No</a><h2 class="big result__title">\n<a href="/e"></a></h2>'
+        '</b></a></div><a href="/other">No</a><h2 class="big result__title">\n<span><a href="/e"></a></span></h2>'
     )
     df = spark.createDataFrame([(1, html), (2, "<p>none</p>")], "id int, html string")
     found = pages.page_links(df, "id", result_class=pages.RESULT_CLASS).collect()

@@ -15,7 +15,7 @@ from assay.operators.prepare import prepare
 from assay.operators.segments import holdout_line
 from assay.operators.runs import latest_runs, merged_metrics
 from assay.operators.split import add_split
-from assay.operators.train import build_estimator, train, train_tabular, train_text
+from assay.operators.train import _index_labels, build_estimator, train, train_tabular, train_text
 from assay.sources.records import read_events
 
 
@@ -177,6 +177,10 @@ def test_experiment_end_to_end(spark, signal, tmp_path):
         "r1": "complete", "r2": "failed",
     }
     assert {r.name for r in merged_metrics(events).collect()} == {"r2", "rmse"}
+    # A repeated run comes after the first, in any order of rows.
+    run_experiment(signal, Plan("r1", "q", "h", "nope", "regression", []), event_log=log)
+    for rows in (read_events(spark, log).orderBy("seq"), read_events(spark, log).orderBy(F.desc("seq"))):
+        assert latest_runs(rows).filter("run_id = 'r1'").first().status == "failed"
 
 
 def test_text_experiment_keeps_its_text(spark):
@@ -186,3 +190,17 @@ def test_text_experiment_keeps_its_text(spark):
     done = run_experiment(df, plan, "k")
     assert done.error is None and done.metrics.first().accuracy == 1.0
     assert answer_plan(plan, done.metrics).first().verdict == "inconclusive"
+
+
+def test_text_column_comes_from_the_plan(spark):
+    rows = [(i, f"t{i}", "up up" if i % 2 else "down down", "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, title string, review string, mood string")
+    plan = Plan("t", "q", "h", "mood", "nlp_classification", ["review"])
+    assert run_experiment(df, plan, "k").metrics.first().accuracy == 1.0
+    named = Plan("t", "q", "h", "mood", "nlp_classification", [], text_column="review")
+    assert run_experiment(df, named, "k").metrics.first().accuracy == 1.0
+
+
+def test_classes_have_no_cap(spark):
+    labels = spark.range(10_001).select(F.concat(F.lit("c"), "id").alias("y"))
+    assert len(_index_labels(labels, "y").labels) == 10_001
