@@ -221,3 +221,27 @@ def test_cascade_is_exact_over_its_universe(spark):
     cascade = url_filter.build_cascade(keys, "listed")
     rows = keys.toPandas()
     assert (cascade.holds(rows["h1"].to_numpy(), rows["h2"].to_numpy()) == rows["listed"].to_numpy()).all()
+
+
+@pytest.mark.parametrize("heads", [(), (1,)])
+def test_variants_near_the_limit_against_brute_force(spark, monkeypatch, heads):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = {}
+    for i in range(60):
+        own = list(base)
+        for at in rng.choice(300, int(rng.integers(2, 10)), replace=False):
+            own[at] = f"x{i}_{at}"
+        texts[i] = " ".join(own)
+    runs = {i: Counter(tuple(t.split()[a : a + 5]) for a in range(296)) for i, t in texts.items()}
+    want = {i: i for i in texts}
+    for a in texts:
+        for b in range(a):
+            if (runs[a] & runs[b]).total() >= 0.8 * (runs[a] | runs[b]).total() and want[a] != want[b]:
+                low, high = sorted((want[a], want[b]))
+                want = {i: low if c == high else c for i, c in want.items()}
+    assert len(set(want.values())) > 5
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], DOCS)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df, heads=heads).collect()}
+    assert got == want
