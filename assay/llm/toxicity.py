@@ -7,7 +7,8 @@ and punctuation, and rates of obfuscated spelling (digits and signs for letters,
 letters), each with the lexicon hits that only appear once the spelling is undone.
 
 The lexicon and the trees are fitted on a bounded sample (`MAX_TOXIC` and `MAX_OTHER` labelled rows
-of smallest id hash); of four folds two fit the trees, one fits the calibration and one is held
+of smallest id hash); each sampled row weighs as many labelled rows of its kind as it stands for, so
+trees, calibration and threshold see the toxic share of all labels at any size. Of four folds two fit the trees, one fits the calibration and one is held
 out. Every document is scored, on all of its text, inside its row: documents are never shuffled.
 
 Edge cases: null and empty texts have all-zero features and get the score of such a row. A document
@@ -177,7 +178,8 @@ def fold_of(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
-    """doc_id, text, label, fold of the sampled labelled documents; none is held out."""
+    """doc_id, text, label, fold and weight of the sampled labelled documents; none is held out. The
+    weight is the number of labelled documents of the same kind for each sampled one."""
     marks = (
         labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
         .groupBy(F.col(doc_id).alias("_id"))
@@ -188,9 +190,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
     ids = docs.select(F.col(doc_id).alias("_id")).distinct()
     known = materialize(marks.join(ids, "_id", "left_semi"), "tox-labels")
     order = F.xxhash64("_id", F.lit(4))
-    toxic = known.filter("label = 1").orderBy(order, "_id").limit(MAX_TOXIC)
-    other = known.filter("label != 1").orderBy(order, "_id").limit(MAX_OTHER)
-    chosen = F.broadcast(toxic.unionByName(other))
+    full = {r.is_toxic: r["count"] for r in known.groupBy((F.col("label") == 1).alias("is_toxic")).count().collect()}
+
+    def smallest(is_toxic: bool, most: int) -> DataFrame:
+        n = full.get(is_toxic, 0)
+        rows = known.filter((F.col("label") == 1) == is_toxic).orderBy(order, "_id").limit(most)
+        return rows.withColumn("weight", F.lit(n / max(1, min(n, most))))
+
+    chosen = F.broadcast(smallest(True, MAX_TOXIC).unionByName(smallest(False, MAX_OTHER)))
     texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("text"))
     return materialize(texts.join(chosen, "_id"), "tox-sample")
 
@@ -263,19 +270,21 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Fit on the labelled documents whose fold isn't held out."""
     sample = labelled_sample(docs, labels, doc_id, text, label)
-    by = {(r.fold, r.label == 1): r["count"] for r in sample.groupBy("fold", "label").count().collect()}
+    kinds = sample.groupBy("fold", (F.col("label") == 1).alias("is_toxic"))
+    by = {(r.fold, r.is_toxic): r.weight for r in kinds.agg(F.sum("weight").alias("weight")).collect()}
     n, toxic = sum(by.values()), sum(k for (_, is_toxic), k in by.items() if is_toxic)
     fit = [sum(k for (f, t), k in by.items() if f != CALIBRATION and t == x) for x in (False, True)]
     if not all(fit):
         return ToxicityModel(toxic / n if n else 0.0, {})
     lexicon = learn_lexicon(sample.filter(F.col("fold") != CALIBRATION))
     rows = materialize(
-        sample.select("fold", F.col("label").cast("double").alias("label"), feature_column(F.col("text"), lexicon).alias("f")),
+        sample.select("fold", F.col("label").cast("double").alias("label"), "weight", feature_column(F.col("text"), lexicon).alias("f")),
         "tox-features",
-    ).select("fold", "label", array_to_vector("f").alias("_f"))
+    ).select("fold", "label", "weight", array_to_vector("f").alias("_f"))
     cores = sample.sparkSession.sparkContext.defaultParallelism
     trees = GBTClassifier(
         labelCol="label",
+        weightCol="weight",
         featuresCol="_f",
         predictionCol="_class",
         maxIter=TREES,
@@ -287,8 +296,8 @@ def fit_toxicity(
     trees = trees.setProbabilityCol("_prob").setRawPredictionCol("_raw").fit(rows.filter(F.col("fold") != CALIBRATION).coalesce(cores).cache())
     calibration = None
     if by.get((CALIBRATION, True)) and by.get((CALIBRATION, False)):
-        held = trees.transform(rows.filter(F.col("fold") == CALIBRATION)).select("label", vector_to_array("_prob")[1].alias("_p"))
-        calibration = IsotonicRegression(labelCol="label", featuresCol="_p", predictionCol="_c").fit(held)
+        held = trees.transform(rows.filter(F.col("fold") == CALIBRATION)).select("label", "weight", vector_to_array("_prob")[1].alias("_p"))
+        calibration = IsotonicRegression(labelCol="label", weightCol="weight", featuresCol="_p", predictionCol="_c").fit(held)
     return ToxicityModel(toxic / n, lexicon, trees, calibration)
 
 

@@ -105,6 +105,18 @@ def test_toxicity(spark):
     assert toxicity.score_documents(df, labels.limit(0)).filter("score != 0").count() == 0
 
 
+def test_toxicity_keeps_the_share_of_all_labels(spark, monkeypatch):
+    # Nothing tells the texts apart, so each score is the toxic share of all labels.
+    df = spark.createDataFrame([(i, "the same plain words") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 50 < 7)) for i in range(3000)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 200)
+    monkeypatch.setattr(toxicity, "MAX_OTHER", 200)
+    model = toxicity.fit_toxicity(df, labels)
+    assert model.calibration is not None and abs(model.prior - 0.14) < 0.02
+    rows = model.score(df).select("score", "predicted").distinct().collect()
+    assert len(rows) == 1 and abs(rows[0].score - 0.14) < 0.05 and rows[0].predicted == 0
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
