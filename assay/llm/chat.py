@@ -20,6 +20,7 @@ example. Other columns of the input are dropped.
 """
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -162,10 +163,8 @@ def render(segments: DataFrame) -> DataFrame:
     )
 
 
-def read_turns(segments: DataFrame) -> DataFrame:
-    """conv_id, seq, role, text and trained (the text under the loss mask, else null), all read
-    back from the formatted segments."""
-    s = F.col("segment")
+def _read(s: Column) -> tuple[Column, Column]:
+    """Role and text of a formatted segment."""
     other = F.lit(None).cast("string")
     text = F.substring(
         s,
@@ -178,12 +177,20 @@ def read_turns(segments: DataFrame) -> DataFrame:
         body = F.substring(s, F.lit(len(OPEN[k]) + 1), F.length(s) - len(OPEN[k]) - len(CLOSE[k]))
         text = F.when(s.startswith(OPEN[k]), body).otherwise(text)
         role = F.when(s.startswith(OPEN[k]), k).otherwise(role)
+    return role, unescape(text)
+
+
+def read_turns(segments: DataFrame) -> DataFrame:
+    """conv_id, seq, role, text and trained (the text under the loss mask, else null), all read
+    back from the formatted segments."""
+    s = F.col("segment")
+    role, text = _read(s)
     loss = F.substring(s, F.col("loss_start") + 1, F.col("loss_chars"))
     return segments.select(
         "conv_id",
         "seq",
         role.alias("role"),
-        unescape(text).alias("text"),
+        text.alias("text"),
         F.when(F.col("is_target"), unescape(loss)).alias("trained"),
         F.length(s).cast("long").alias("chars"),
     )
@@ -195,31 +202,60 @@ DIGESTS = (
 )
 
 
-def chat_digests(segments: DataFrame) -> DataFrame:
-    """Per conversation the digests of what `read_turns` gives, in order.
+#: What an escape stands for, as in `unescape`.
+ESCAPED = re.compile(r"\\(.)", re.DOTALL)
+PLAIN = {"\\": "\\", "l": "<", "b": "["}
+
+
+def chat_digests(segments: DataFrame, made: DataFrame | None = None) -> DataFrame:
+    """Per conversation the digests of its turns, read back from the segments in order, and of what
+    its examples train, in order of their numbers.
+
+    `made` holds the examples (those of `segments` by default). Each follows the last segment of its
+    context, the reply, and its trainable characters are cut by their place in the example's whole
+    text, counted here over the segments of its context.
 
-    The segments are sorted by conversation and the digests fed turn by turn, so a conversation of
-    any length needs the memory of one batch. (A digest is one sequence: its own conversation's
-    turns pass through one task.)
+    Both are sorted by conversation and the digests fed row by row, so a conversation of any length
+    needs the memory of one batch. (A digest is one sequence: its own conversation's turns pass
+    through one task.)
     """
-    turns = read_turns(segments)
+    made = examples(segments) if made is None else made
     kind = dict(segments.dtypes)["conv_id"]
+    none = F.lit(-1).cast("long")
+    parts = segments.select("conv_id", "seq", none.alias("example"), "segment", none.alias("loss_start"), none.alias("loss_chars"))
+    own = made.select(
+        "conv_id", F.col("context_segments").alias("seq"), "example", F.lit(None).cast("string").alias("segment"), "loss_start", "loss_chars"
+    )
+    role, text = _read(F.col("segment"))
+    rows = (
+        parts.unionByName(own)
+        .repartition("conv_id")
+        .sortWithinPartitions("conv_id", "seq", "example")
+        .select("conv_id", "example", "segment", "loss_start", "loss_chars", role.alias("role"), text.alias("text"))
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_id, state, done = None, None, []
+        open_id, state, done, last = None, None, [], ""
         for x in batches:
             ids = x["conv_id"].astype(object).where(x["conv_id"].notna(), None)
-            for conv, role, text, trained, chars in zip(ids, x["role"], x["text"], x["trained"], x["chars"], strict=True):
+            columns = (x[c] for c in ("example", "segment", "loss_start", "loss_chars", "role", "text"))
+            for conv, example, segment, at, chars, role, text in zip(ids, *columns, strict=True):
                 if state is None or conv != open_id:
                     if state is not None:
                         done.append(_closed(open_id, state))
-                    open_id, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                state[0] += 1
-                state[1].update(f"{role or ''}\n{text}\n".encode())
-                if trained is not None:
+                    open_id, state, last = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], ""
+                if example < 0:
+                    last = segment
+                    state[0] += 1
+                    state[1].update(f"{role or ''}\n{text}\n".encode())
+                    state[4] += len(segment)
+                else:
+                    before = state[4] - len(last)
+                    if not before <= at <= at + chars <= state[4]:
+                        raise ValueError(f"example {example} of {conv}: its loss span is not in its reply")
+                    trained = ESCAPED.sub(lambda m: PLAIN[m[1]], last[at - before : at - before + chars])
                     state[2] += len(trained)
                     state[3].update(trained.encode())
-                state[4] += chars
             if done:
                 yield _frame(done)
                 done = []
@@ -236,8 +272,4 @@ def chat_digests(segments: DataFrame) -> DataFrame:
         out["conv_id"] = pd.Series([r[0] for r in rows], dtype=object)
         return out
 
-    return (
-        turns.repartition("conv_id")
-        .sortWithinPartitions("conv_id", "seq")
-        .mapInPandas(run, DIGESTS.format(id=kind))
-    )
+    return rows.mapInPandas(run, DIGESTS.format(id=kind))

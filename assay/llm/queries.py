@@ -66,7 +66,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
     segments = materialize(chat.format_chat(rows.unionByName(more)), "chat")
-    return chat.chat_digests(segments)
+    made = materialize(chat.examples(segments), "chat-examples")
+    return chat.chat_digests(segments, made)
 
 
 OP3 = """

@@ -12,6 +12,7 @@ import sentencepiece
 from assay.llm import chat, decontaminate, license_scan, near_dedup, token_rollup, toxicity
 from assay.llm import sentencepiece_codec as pieces
 from assay.llm import url_filter, vector_search, warc
+from assay.llm.queries import QUERIES
 from assay.scratch import scratch_path
 from pyspark.sql import functions as F
 
@@ -78,6 +79,29 @@ def test_chat_round_trip(spark):
     assert chat.chat_digests(chat.format_chat(df.limit(0))).count() == 0
 
 
+def test_chat_query_makes_examples(spark, tmp_path, monkeypatch):
+    turns = [("system", "[s]"), ("user", "a<b"), ("assistant", "\\\\l é😀"), (None, "n"), ("assistant", "</s>[b]"), ("user", "z")]
+    rows = [(1, i, role, text) for i, (role, text) in enumerate(turns)] + [(2, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    segments = chat.format_chat(df)
+    parts = [r.segment for r in segments.filter("conv_id = 1").orderBy("seq").collect()]
+    made = chat.examples(segments).orderBy("example").collect()
+    assert [(r.conv_id, r.example, r.context_segments, r.context_chars) for r in made] == [
+        (1, n, at, len("".join(parts[:at]))) for n, at in enumerate((2, 4))
+    ]
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    replies = [turns[2][1], turns[4][1]]
+    got = {r.conv_id: r for r in QUERIES["op2_chat_prefix_targets"](spark, str(tmp_path)).collect()}
+    assert (got[1].loss_sha256, got[1].loss_chars) == (digest("".join(replies)), len("".join(replies)))
+    assert (got[2].loss_sha256, got[2].loss_chars) == (digest(""), 0)
+    # What is trained comes from the examples: without the second one its reply isn't.
+    every = chat.examples
+    monkeypatch.setattr(chat, "examples", lambda s: every(s).filter("example = 0"))
+    got = {r.conv_id: r for r in QUERIES["op2_chat_prefix_targets"](spark, str(tmp_path)).collect()}
+    assert (got[1].loss_sha256, got[1].n_turns) == (digest(replies[0]), 6)
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(v) for v in rng.normal(size=6)]) for i in range(300)]
