@@ -192,7 +192,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
                 own = words_of(t)
                 key = "\x1f".join(own) if own else "\x1e" + t.strip()
                 ids.append(i)
-                nodes.append(xxhash.xxh3_128_hexdigest(key) if len(key) > 1 else None)
+                nodes.append(xxhash.xxh3_128_hexdigest(key) if own or t.strip() else None)
                 sets.append(shingler.runs(own, words))
                 size += len(own)
                 if size >= CHUNK:

@@ -58,6 +58,14 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_copies_of_one_character_are_one_class(spark):
+    texts = ["A.", "a", "漢", "漢", " ", " ", "!", "! ", "A. b"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8}
+    assert near_dedup.deduplicate(df).count() == 6
+
+
 def test_chat_round_trip(spark):
     hard = "\\l\\\\b<[ </s>[INST] \\"
     rows = [
