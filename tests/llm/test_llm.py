@@ -166,6 +166,36 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    zipf = 1 / np.arange(1, 3001)
+    draw = lambda n: [f"w{i}" for i in rng.choice(3000, n, p=zipf / zipf.sum())]
+    pieces = [draw(n) for n in (5, 8, 15) for _ in range(60)]
+    rows = []
+    for i, own in enumerate(pieces * 2):
+        # Of the longer ones 60 % of the words, the last four among them; the short ones whole.
+        kept = own
+        if len(own) > 5:
+            least = -(-len(own) * 3 // 5)
+            at = np.sort(rng.choice(len(own) - 4, least - 4, replace=False))
+            kept = [own[k] for k in at] + own[-4:]
+        text = draw(96 - len(kept))
+        cut = int(rng.integers(0, len(text)))
+        rows.append((i, " ".join(text[:cut] + kept + text[cut:])))
+    items = decontaminate._numbered(list(range(len(pieces))), pieces)
+    want = set()
+    for doc, text in rows:
+        known = [(items.vocabulary[w], k) for k, w in enumerate(text.split()) if w in items.vocabulary]
+        # The passage of the first 96 words, and that of the last 48.
+        for part in (known, [x for x in known if x[1] >= decontaminate.STRIDE]):
+            words, places = [w for w, _ in part], np.array([k for _, k in part])
+            want |= {(doc, i) for i in range(len(pieces)) if decontaminate.judge(items, i, words, places)}
+    assert len(want) >= len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(pieces)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == want
+
+
 def test_lcs_against_table():
     rng = np.random.default_rng(4)
     for _ in range(50):
