@@ -216,7 +216,9 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
                 for t in x["text"]:
                     own = {e for w in set(words_of(t)) for e in entries_of(w)}
                     found.update(own if only is None else own & only)
-            yield pd.DataFrame({"entry": list(found), "n": list(found.values())})
+            # A part without such texts has no frame: an empty one has no type for its columns.
+            if found:
+                yield pd.DataFrame({"entry": list(found), "n": list(found.values())})
 
         return run
 
@@ -293,7 +295,9 @@ def fit_toxicity(
         minInstancesPerNode=5,
         seed=4,
     )
-    trees = trees.setProbabilityCol("_prob").setRawPredictionCol("_raw").fit(rows.filter(F.col("fold") != CALIBRATION).coalesce(cores).cache())
+    grown_on = rows.filter(F.col("fold") != CALIBRATION).coalesce(cores).cache()
+    trees = trees.setProbabilityCol("_prob").setRawPredictionCol("_raw").fit(grown_on)
+    grown_on.unpersist()
     calibration = None
     if by.get((CALIBRATION, True)) and by.get((CALIBRATION, False)):
         held = trees.transform(rows.filter(F.col("fold") == CALIBRATION)).select("label", "weight", vector_to_array("_prob")[1].alias("_p"))

@@ -319,3 +319,13 @@ def test_variants_near_the_limit_against_brute_force(spark, monkeypatch, heads):
     df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], DOCS)
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df, heads=heads).collect()}
     assert got == want
+
+
+def test_toxicity_with_parts_that_hold_no_labelled_text(spark):
+    """Parts without rows of the asked kind count nothing; they used to break the worker."""
+    rows = [(i, f"you idiot number {i}" if i % 3 == 0 else f"a calm note about item {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(24, "doc_id")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic")
+    assert "idiot" in toxicity.learn_lexicon(sample.repartition(97, "_id"))
+    assert toxicity.learn_lexicon(sample.filter("label = 1").repartition(7, "_id")) == {}
