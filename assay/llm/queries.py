@@ -9,6 +9,7 @@ from assay.llm import (
     decontaminate,
     license_scan,
     near_dedup,
+    sharding,
     token_rollup,
     toxicity,
     url_filter,
@@ -212,3 +213,10 @@ SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, action string")
     return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+@query("op11_vector_bin_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return sharding.pack_shards(docs).select("*", law, grown)
