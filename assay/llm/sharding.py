@@ -81,10 +81,13 @@ def _sums(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def _place_part(residual: np.ndarray, scale: np.ndarray):
-    def run(x: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         items = x[list(SIZES)].to_numpy(np.float64) * scale
         order = placing_order(items, x["key"].to_list())
-        return pd.DataFrame({"key": x["key"].to_numpy()[order], "shard": place(items[order], residual.copy())})
+        # Every part begins at another shard, or what is left over would go to the same ones in all.
+        turned = np.roll(np.arange(len(residual)), key[0])
+        shard = turned[place(items[order], residual[turned])]
+        return pd.DataFrame({"key": x["key"].to_numpy()[order], "shard": shard.astype(np.int32)})
 
     return run
 
