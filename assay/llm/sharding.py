@@ -8,8 +8,8 @@ residual capacity is highest; where none has room, to the shard that would overf
 A group larger than a shard is cut, by a hash of the row, into chunks of a quarter shard: whole shards
 of short copies would leave no rows for the bytes that they still need. Groups that take `LARGE` of a shard or more are few (at most three times shards / LARGE) and are placed first, on
 the driver. The rest is dealt by hash into parts of about `PART` groups; every part places its own
-groups, one by one, into an equal share of the capacity that is left, so parts need not know each
-other and their sums are balanced as well as each of them. Only keys and sizes are shuffled.
+groups, one by one, into a share of the capacity that is left, so parts need not know each other and
+their sums are balanced as well as each of them. Only keys and sizes are shuffled.
 
 Slots number the rows of a shard from 0 without gaps: rows are counted in buckets (by hash), the
 buckets' counts are summed up, and rows are numbered inside their bucket.
@@ -86,7 +86,9 @@ def _place_part(residual: np.ndarray, scale: np.ndarray):
         order = placing_order(items, x["key"].to_list())
         # Every part begins at another shard, or what is left over would go to the same ones in all.
         turned = np.roll(np.arange(len(residual)), key[0])
-        shard = turned[place(items[order], residual[turned])]
+        # And fills what is left in proportion to what it has, so that its own shards come out even.
+        own = residual * (items.sum(axis=0) / np.maximum(residual.sum(axis=0), 1e-12))
+        shard = turned[place(items[order], own[turned])]
         return pd.DataFrame({"key": x["key"].to_numpy()[order], "shard": shard.astype(np.int32)})
 
     return run
@@ -135,7 +137,7 @@ def pack_shards(
     rest = (
         small.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(n)))
         .groupBy("part")
-        .applyInPandas(_place_part(residual / n, scale), "key binary, shard int")
+        .applyInPandas(_place_part(residual, scale), "key binary, shard int")
     )
 
     known = rows.join(F.broadcast(split), "key", "left").select("*", chunk).drop("chunks")

@@ -65,9 +65,9 @@ def test_equal_to_a_plain_greedy(spark):
 def test_a_third_of_all_rows_and_parts_of_small_groups(spark):
     rng = np.random.default_rng(6)
     texts = [(i, "copy") for i in range(1000)]
-    texts += [(1000 + i, "x" * int(rng.integers(0, 500)) + f" {i // 2}") for i in range(2000)]
+    texts += [(1000 + i, "x" * int(rng.integers(0, 500)) + f" {i}") for i in range(2000)] * 2
     df = spark.createDataFrame([(i, t, "x") for i, t in texts], DOCS)
-    rows = sharding.pack_shards(df, shards=8, large=0.05, part=300, bucket=10).collect()
+    rows = sharding.pack_shards(df, shards=8, large=0.05, part=700, bucket=10).collect()
     by = check_rows(rows, texts)
     assert max(map(len, by.values())) / (len(texts) / 8) < 1.03
     size = defaultdict(int)
