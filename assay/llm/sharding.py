@@ -5,8 +5,8 @@ shard should take. Groups are placed largest first (by their largest component):
 have room for it in every component, a group goes where the dot product of its vector and the
 residual capacity is highest; where none has room, to the shard that would overflow least.
 
-A group larger than a shard is cut, by a hash of the row, into chunks of a quarter shard: whole shards
-of short copies would leave no rows for the bytes that they still need. Groups that take `LARGE` of a shard or more are few (at most three times shards / LARGE) and are placed first, on
+A group larger than a shard is cut, by a hash of the row, into one chunk per shard, or a few where
+that is still much: whole shards of short copies would leave no rows for the bytes that they need. Groups that take `LARGE` of a shard or more are few (at most three times shards / LARGE) and are placed first, on
 the driver. The rest is dealt by hash into parts of about `PART` groups; every part places its own
 groups, one by one, into a share of the capacity that is left, so parts need not know each other and
 their sums are balanced as well as each of them. Only keys and sizes are shuffled.
@@ -32,7 +32,7 @@ SHARDS = 40
 OVERHEAD = 16
 #: Share of a shard from which on a group is placed before all smaller ones.
 LARGE = 1 / 256
-#: Chunks per shard's worth of a group that is larger than a shard.
+#: Chunks of a group that is larger than a shard, for each shard's worth of it, at least.
 CHUNKS = 4
 #: Groups that one task places.
 PART = 20_000
@@ -116,8 +116,8 @@ def pack_shards(
     scale = np.array([shards / max(1, total[c] or 0) for c in SIZES])
     share = F.greatest(*(F.col(c) * float(s) for c, s in zip(SIZES, scale, strict=True)))
 
-    # Groups beyond one shard: at most one per shard and component.
-    split = groups.filter(share > 1).select("key", F.ceil(share * CHUNKS).cast("int").alias("chunks"))
+    # At most one per shard and component.
+    split = groups.filter(share > 1).select("key", (F.ceil(share * CHUNKS / shards) * shards).cast("int").alias("chunks"))
     split = spark.createDataFrame(split.collect(), "key binary, chunks int")
     chunk = F.coalesce(F.pmod(F.xxhash64("place"), F.col("chunks")), F.lit(0)).cast("int").alias("chunk")
     parts = _sums(rows.join(F.broadcast(split), "key").select("*", chunk), "key", "chunk")
