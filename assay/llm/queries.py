@@ -9,6 +9,7 @@ from assay.llm import (
     decontaminate,
     license_scan,
     near_dedup,
+    prefix_trie,
     sharding,
     token_rollup,
     toxicity,
@@ -220,3 +221,63 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
     return sharding.pack_shards(docs).select("*", law, grown)
+
+
+OP12 = r"""
+WITH bits AS (
+    SELECT i FROM range(256) t(i)
+), crc_table AS (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, [k::BIGINT for k in range(8)]),
+        lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM bits
+), crc_list AS (
+    SELECT list(c ORDER BY i) AS t FROM crc_table
+), turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+            left(coalesce(text, ''), 256), md5(coalesce(text, ''))) - 1 AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(
+        list_prepend(4294967295::BIGINT, [ord(ch)::BIGINT for ch in string_split(conv_id::VARCHAR, '')]),
+        lambda x, ch: xor(t[(xor(x, ch) & 255) + 1], x >> 8)), 4294967295) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns), crc_list
+), pieces AS (
+    SELECT c.conv_id, 0 AS part, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND pos < h
+    UNION ALL
+    SELECT c.conv_id, 1 AS part, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos >= h
+), rebuilt AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM pieces
+), prefixes AS (
+    SELECT conv_id, 0 AS depth, '' AS node, 0 AS words FROM convs
+    UNION ALL
+    SELECT conv_id, depth, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '')
+        OVER (PARTITION BY conv_id ORDER BY depth)),
+        len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) FROM rebuilt
+), nodes AS (
+    SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM prefixes GROUP BY depth, node
+), tree AS (
+    SELECT n.*, p.node AS parent FROM nodes n LEFT JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+), children AS (
+    SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM tree WHERE depth > 0 GROUP BY ALL
+), subtrees AS (
+    SELECT a.depth, a.node, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum((u.n_convs - 1) * u.words) AS saved_tokens
+    FROM nodes u JOIN prefixes a ON a.conv_id = u.conv_id AND a.depth <= u.depth
+    LEFT JOIN children k ON k.depth = u.depth AND k.node = u.node GROUP BY a.depth, a.node
+), ends AS (
+    SELECT depth, node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+    FROM prefixes p WHERE depth = (SELECT max(depth) FROM prefixes q WHERE q.conv_id = p.conv_id) GROUP BY depth, node
+)
+SELECT t.conv_id, t.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, t.n_convs,
+    coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+    coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM tree t LEFT JOIN nodes p ON p.depth = t.depth - 1 AND p.node = t.parent
+LEFT JOIN children k ON k.depth = t.depth AND k.node = t.node
+JOIN subtrees s ON s.depth = t.depth AND s.node = t.node
+LEFT JOIN ends e ON e.depth = t.depth AND e.node = t.node
+"""
+
+
+@query("op12_prefix_trie", OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = materialize(prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations")), "trie-ordered")
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt_turns(turns))
