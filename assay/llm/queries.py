@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assay.llm import (
     chat,
     decontaminate,
+    hard_negatives,
     license_scan,
     near_dedup,
     prefix_trie,
@@ -281,3 +282,31 @@ LEFT JOIN ends e ON e.depth = t.depth AND e.node = t.node
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = materialize(prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations")), "trie-ordered")
     return prefix_trie.prefix_trie(prefix_trie.rebuilt_turns(turns))
+
+
+OP13 = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        [floor(x::DOUBLE * 256) for x in embedding] AS vec FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, list_inner_product(a.vec, c.vec)::BIGINT AS score
+    FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query("op13_hard_negatives", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
