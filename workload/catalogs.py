@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from assay.functions.keys import cache_key
-from assay.operators import catalog
+from assay.operators import catalog, search
 from assay.plans.cost import estimate_costs, rate_table
 from assay.plans.extract import parse_replies, validate_plans
 from assay.schemas import HOURLY_RATES
 from assay.sources.pages import page_links as links_of
-from workload.inputs import CANDIDATE_SQL, PLANS_SQL, candidates, plan_rows, wide_table
+from workload.inputs import CANDIDATE_SQL, PLANS_SQL, candidates, plan_rows, table, wide_table
 from workload.registry import query
 
 POSITION = "CASE source WHEN 'kaggle' THEN 1 WHEN 'huggingface' THEN 2 ELSE 3 END"
@@ -60,6 +60,49 @@ def catalog_search_sources(spark, sf):
     return found.select("id", "source", "relevance_score")
 
 
+# One text per customer and per nation: words that a third of all candidates has, rare ones, pairs of
+# both, words that none has, and none at all.
+BATCH_QUERIES = {
+    "customer": (
+        "c_custkey",
+        "CASE c_custkey % 6 WHEN 0 THEN concat('dataset ', CAST(c_custkey % 200 AS {text})) "
+        "WHEN 1 THEN concat('EN; Dataset / ', CAST(c_custkey % 200 AS {text})) WHEN 2 THEN 'dataset fr' "
+        "WHEN 3 THEN 'de' WHEN 4 THEN 'https example www' ELSE concat('dataset dataset ', c_mktsegment) END",
+    ),
+    "nation": ("-1 - n_nationkey", "CASE n_nationkey % 3 WHEN 0 THEN '--' WHEN 1 THEN NULL ELSE n_name END"),
+}
+BATCH_SQL = "queries AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS query_id, {t.format(text='VARCHAR')} AS text FROM {name}"
+    for name, (i, t) in BATCH_QUERIES.items()
+) + ")"
+WORDS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))"
+
+
+@query(
+    "catalog_search_batch",
+    f"""WITH {CANDIDATE_SQL}, {BATCH_SQL},
+    sets AS (SELECT query_id, {WORDS_SQL.format("coalesce(text, '')")} AS words FROM queries),
+    own AS (SELECT *, {WORDS_SQL.format("concat_ws(' ', name, description)")} AS words FROM candidates),
+    asked AS (SELECT DISTINCT list_sort(words) AS words FROM sets),
+    ranked AS (SELECT a.words, o.* EXCLUDE (words), row_number() OVER
+      (PARTITION BY a.words, source ORDER BY rank, id) AS r
+      FROM asked a JOIN own o ON list_has_all(o.words, a.words)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY words
+      ORDER BY relevance_score DESC, {POSITION}, rank, id) AS position FROM ranked WHERE r <= 5)
+    SELECT query_id, CAST(position AS INT) AS position, id, source, url, relevance_score
+    FROM sets JOIN placed ON list_sort(sets.words) = placed.words""",
+)
+def catalog_search_batch(spark, sf):
+    texts = [
+        table(spark, sf, name).selectExpr(
+            f"CAST({i} AS BIGINT) AS query_id", f"{t.format(text='STRING')} AS text"
+        )
+        for name, (i, t) in BATCH_QUERIES.items()
+    ]
+    found = search.search_batch(candidates(spark, sf), texts[0].unionByName(texts[1]), rank="rank")
+    return found.select("query_id", "position", "id", "source", "url", "relevance_score")
+
+
 @query(
     "catalog_best",
     f"""WITH {CANDIDATE_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query
