@@ -5,18 +5,14 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay.operators.boosting import BINS, BoostedTrees
 from assay.operators.metrics import clf_metrics, reg_metrics
 from assay.operators.prepare import Prepared
 from assay.operators.terms import BIGRAM_FEATURES, UNIGRAM_FEATURES, fit_tfidf
@@ -32,10 +28,9 @@ LINEAR_TOLERANCE = 1e-10
 SEED = 42
 # Public defaults of the two boosting libraries (depth, learning rate).
 BOOSTING = {"xgboost": (6, 0.3), "lightgbm": (5, 0.1)}
-FOREST_DEPTH = 10
+# The deepest and finest trees that Spark's forest grows; the public default has no limit.
+FOREST_DEPTH, FOREST_BINS = 30, 256
 
-# Classes of a one-vs-rest model fitted side by side.
-CLASS_FITS = 4
 # Fewest rows worth a task of their own while a fit iterates.
 FIT_ROWS = 100_000
 
@@ -53,17 +48,27 @@ class Trained:
 
 
 def build_estimator(
-    model_type: str, task: str, n_estimators: int = TREES, classes: int = 2, rows: int = 1
+    model_type: str,
+    task: str,
+    n_estimators: int = TREES,
+    classes: int = 2,
+    rows: int = 1,
+    max_depth: int | None = None,
+    max_bins: int | None = None,
 ) -> Estimator:
-    """The estimator of a model type; unknown types and `auto` are boosted trees."""
+    """The estimator of a model type; unknown types and `auto` are boosted trees.
+
+    `max_depth` and `max_bins` are those of trees; each model has its own defaults.
+    """
     is_class = task in CLASS_TASKS
     if model_type == "random_forest":
-        if is_class:
-            return RandomForestClassifier(
-                numTrees=n_estimators, maxDepth=FOREST_DEPTH, featureSubsetStrategy="sqrt", seed=SEED
-            )
-        return RandomForestRegressor(
-            numTrees=n_estimators, maxDepth=FOREST_DEPTH, featureSubsetStrategy="all", seed=SEED
+        kind = RandomForestClassifier if is_class else RandomForestRegressor
+        return kind(
+            numTrees=n_estimators,
+            maxDepth=FOREST_DEPTH if max_depth is None else max_depth,
+            maxBins=max_bins or FOREST_BINS,
+            featureSubsetStrategy="sqrt" if is_class else "all",
+            seed=SEED,
         )
     if model_type in ("logistic_regression", "linear_regression"):
         if is_class:
@@ -72,11 +77,9 @@ def build_estimator(
             solver="auto", regParam=0.0, maxIter=LINEAR_ITERATIONS, tol=LINEAR_TOLERANCE
         )
     depth, rate = BOOSTING.get(model_type, BOOSTING["xgboost"])
-    if not is_class:
-        return GBTRegressor(maxIter=n_estimators, maxDepth=depth, stepSize=rate, seed=SEED)
-    boosted = GBTClassifier(maxIter=n_estimators, maxDepth=depth, stepSize=rate, seed=SEED)
-    return boosted if classes <= 2 else OneVsRest(
-        classifier=boosted, parallelism=CLASS_FITS
+    objective = ("logistic" if classes <= 2 else "softmax") if is_class else "squared"
+    return BoostedTrees(
+        objective, n_estimators, depth if max_depth is None else max_depth, rate, classes, bins=max_bins or BINS
     )
 
 
@@ -95,10 +98,6 @@ def importances(model: Model, features: list[str]) -> dict[str, float] | None:
     """Weight per feature of a tree model, shares of 1; None for other models."""
     if hasattr(model, "featureImportances"):
         return dict(zip(features, model.featureImportances.toArray().tolist()))
-    parts = getattr(model, "models", [])
-    if parts and all(hasattr(m, "featureImportances") for m in parts):
-        total = sum(m.featureImportances.toArray() for m in parts) / len(parts)
-        return dict(zip(features, total.tolist()))
     return None
 
 

@@ -4,9 +4,9 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from assay.operators.experiment import Plan, answer_plan, run_experiment
@@ -33,9 +33,13 @@ def signal(spark):
 
 
 def test_model_choice(spark):
-    assert isinstance(build_estimator("auto", "regression"), GBTRegressor)
-    assert isinstance(build_estimator("bert", "binary_classification"), GBTClassifier)
-    assert isinstance(build_estimator("lightgbm", "multiclass_classification", classes=3), OneVsRest)
+    boosted = build_estimator("auto", "regression")
+    assert (boosted.objective, boosted.rounds, boosted.width) == ("squared", 300, 1)
+    assert build_estimator("bert", "binary_classification").objective == "logistic"
+    boosted = build_estimator("lightgbm", "multiclass_classification", classes=3)
+    assert (boosted.objective, boosted.width) == ("softmax", 3)
+    assert build_estimator("random_forest", "regression").getMaxDepth() == 30
+    assert build_estimator("random_forest", "regression", max_depth=4, max_bins=64).getMaxBins() == 64
     assert isinstance(build_estimator("logistic_regression", "regression"), LinearRegression)
     assert isinstance(
         build_estimator("linear_regression", "binary_classification"), LogisticRegression
@@ -92,9 +96,10 @@ def test_logistic_regression_finds_the_ridge_optimum(spark):
     assert abs((p - data[:, 1]).sum()) < 0.5
 
 
-def test_saved_model_predicts_the_same(signal, tmp_path):
+@pytest.mark.parametrize("model", ["random_forest", "xgboost"])
+def test_saved_model_predicts_the_same(signal, tmp_path, model):
     ready = prepare(signal, "y", "regression", ["x", "z"], key="k")
-    fitted = train_tabular(ready, "regression", "random_forest", 5)
+    fitted = train_tabular(ready, "regression", model, 5)
     fitted.save(str(tmp_path / "model"))
     again = PipelineModel.load(str(tmp_path / "model")).transform(ready.test)
     mine = fitted.model.transform(ready.test)

@@ -8,7 +8,7 @@ from assay.operators.train import train_tabular, train_text
 from workload.inputs import study, table, wide_table
 from workload.registry import query
 
-TREES = 10
+TREES = 300
 FEATURES = ["acctbal", "step", "segment", "priority"]
 METRICS = ["r2", "rmse", "accuracy", "f1", "n_classes"]
 
@@ -38,7 +38,7 @@ def train_eval_gbt(spark, sf):
 @query("train_eval_gbt_classes")
 def train_eval_gbt_classes(spark, sf):
     ready = classes(spark, sf, "status")
-    return scored(train_tabular(ready, "multiclass_classification", "lightgbm", 3), "gbt_classes")
+    return scored(train_tabular(ready, "multiclass_classification", "lightgbm", TREES), "gbt_classes")
 
 
 @query("train_eval_rf")
