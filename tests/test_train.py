@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from assay.operators.experiment import Plan, answer_plan, run_experiment
 from assay.operators.metrics import clf_metrics, reg_metrics
 from assay.operators.prepare import prepare
-from assay.operators.segments import holdout_line
+from assay.operators.segments import holdout_line, holdout_linear
 from assay.operators.runs import latest_runs, merged_metrics
 from assay.operators.split import add_split
 from assay.operators.train import _index_labels, build_estimator, train, train_tabular, train_text
@@ -146,6 +146,38 @@ def test_batch_line_equals_fit_and_score(signal):
         assert got[g].rmse == pytest.approx(math.sqrt((err**2).mean()))
 
 
+def test_linear_segments_equal_fit_and_score(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in ("a", "b", "twin", "few", "flat", "unheld"):
+        for i in range(3 if g == "few" else 80):
+            x, z = float(rng.normal(1e6, 3)), float(rng.normal(0, 1e-3))
+            w = 2 * x if g == "twin" else float(rng.normal())
+            y = 5.0 if g == "flat" else x - 4000 * z + w + float(rng.normal())
+            part = "train" if g == "unheld" or i % 4 else "test"
+            rows.append((g, part, x, z, w if i != 7 else None, y))
+    rows.append(("untrained", "test", 1.0, 1.0, 1.0, 1.0))
+    df = spark.createDataFrame(rows, "g string, split string, x double, z double, w double, y double").repartition(5)
+    got = {r.g: r for r in holdout_linear(df, ["x", "z", "w"], "y", ["g"]).collect()}
+    assert len(got) == 7
+    for g in ("a", "b", "twin", "flat"):
+        own = [r for r in rows if r[0] == g and r[4] is not None]
+        tr, te = (np.array([r[2:] for r in own if r[1] == s]) for s in ("train", "test"))
+        mean = tr.mean(axis=0)
+        w, *_ = np.linalg.lstsq((tr[:, :3] - mean[:3]) / tr[:, :3].std(axis=0), tr[:, 3] - mean[3], rcond=1e-6)
+        err = te[:, 3] - mean[3] - (te[:, :3] - mean[:3]) / tr[:, :3].std(axis=0) @ w
+        assert (got[g].n_train, got[g].n_test) == (len(tr), len(te))
+        assert got[g].rmse == pytest.approx(math.sqrt((err**2).mean()), rel=1e-5, abs=1e-6)
+        if g == "flat":
+            assert math.isnan(got[g].r2)
+        else:
+            assert got[g].r2 == pytest.approx(1 - (err**2).mean() / te[:, 3].var(), rel=1e-5)
+    assert got["unheld"].rmse is None and got["unheld"].coefficients[0] == pytest.approx(1, abs=0.3)
+    assert got["untrained"].coefficients is None and got["untrained"].rmse is None
+    assert len(holdout_linear(df, ["x"], "y").collect()) == 1
+    assert holdout_linear(df.limit(0), ["x"], "y", ["g"]).count() == 0
+
+
 def test_text_models(spark, tmp_path):
     good, bad = "bright happy great day", "sad gloomy awful rain"
     rows = [(i, (good if i % 2 else bad) + f" word{i % 5}", i % 2, float(i % 2)) for i in range(60)]

@@ -235,3 +235,39 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     return both.withColumn("size_mb", megabytes(F.col("bytes"))).withColumn(
         "relevance_score", relevance(F.col("source"))
     ).drop("bytes")
+
+
+def normal_sql(source: str, features: list[str], target: str, by: str = "1") -> str:
+    """CTEs ending in `solved`: seg, n_train, n_test, w0.., intercept, rmse and r2 of least squares,
+    by elimination on the centred moments of the train rows, one feature at a time."""
+    v, p = [*features, target], len(features)
+    parts = []
+    for name in ("train", "test"):
+        own = [f"CASE WHEN split = '{name}' THEN CAST({c} AS DOUBLE) END" for c in v]
+        parts.append(f"count({own[0]}) AS n_{name}")
+        parts += [f"avg({c}) AS m{i}_{name}" for i, c in enumerate(own)]
+        kind = "a0" if name == "train" else "t"
+        parts += [f"covar_pop({own[i]}, {own[j]}) AS {kind}_{i}_{j}" for i in range(p + 1) for j in range(i, p + 1)]
+    steps = [f"n0 AS (SELECT {by} AS seg, {', '.join(parts)} FROM {source} GROUP BY 1)"]
+    for k in range(p):
+        new = [
+            f"a{k}_{i}_{j} - a{k}_{k}_{i} * a{k}_{k}_{j} / a{k}_{k}_{k} AS a{k + 1}_{i}_{j}"
+            for i in range(k + 1, p + 1)
+            for j in range(i, p + 1)
+        ]
+        steps.append(f"n{k + 1} AS (SELECT *, {', '.join(new)} FROM n{k})")
+    last = f"n{p}"
+    for k in reversed(range(p)):
+        known = "".join(f" - a{k}_{k}_{j} * w{j}" for j in range(k + 1, p))
+        steps.append(f"b{k} AS (SELECT *, (a{k}_{k}_{p}{known}) / a{k}_{k}_{k} AS w{k} FROM {last})")
+        last = f"b{k}"
+    line = "".join(f" - w{i} * m{i}_train" for i in range(p))
+    bias = "".join(f" - w{i} * m{i}_test" for i in range(p))
+    spread = f"t_{p}_{p}" + "".join(f" - 2 * w{i} * t_{i}_{p}" for i in range(p))
+    spread += "".join(f" + w{i} * w{j} * t_{min(i, j)}_{max(i, j)}" for i in range(p) for j in range(p))
+    steps += [
+        f"line AS (SELECT *, m{p}_train{line} AS intercept FROM {last})",
+        f"error AS (SELECT *, greatest(power(m{p}_test - intercept{bias}, 2) + {spread}, 0) AS mse FROM line)",
+        f"solved AS (SELECT *, sqrt(mse) AS rmse, 1 - mse / t_{p}_{p} AS r2 FROM error)",
+    ]
+    return ", ".join(steps)

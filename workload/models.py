@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from assay.operators.prepare import Prepared, prepare
 from assay.operators.split import add_split
 from assay.operators.train import train_tabular, train_text
-from workload.inputs import study, table, wide_table
+from workload.inputs import STUDY_SQL, normal_sql, split_sql, study, table, wide_table
 from workload.registry import query
 
 TREES = 300
@@ -55,9 +55,25 @@ def train_eval_logreg(spark, sf):
     )
 
 
-@query("train_eval_linreg")
+LINEAR_SQL = f"""{STUDY_SQL}, fill AS (SELECT median(acctbal) AS a FROM study),
+    mode AS (SELECT priority AS q FROM study WHERE priority IS NOT NULL
+      GROUP BY priority ORDER BY count(*) DESC, priority LIMIT 1),
+    filled AS (SELECT o_orderkey, coalesce(acctbal, a) AS acctbal, step, segment,
+      coalesce(priority, q) AS priority, medium FROM study, fill, mode),
+    coded AS (SELECT o_orderkey, acctbal, step, dense_rank() OVER (ORDER BY segment) - 1 AS segment,
+      dense_rank() OVER (ORDER BY priority) - 1 AS priority, medium FROM filled),
+    {split_sql('coded', 'o_orderkey')}, {normal_sql('parts', FEATURES, 'medium')}"""
+
+
+@query(
+    "train_eval_linreg",
+    f"""WITH {LINEAR_SQL} SELECT 'linreg' AS model, round(r2, 6) AS r2, round(rmse, 3) AS rmse,
+    CAST(NULL AS DOUBLE) AS accuracy, CAST(NULL AS DOUBLE) AS f1, CAST(NULL AS INT) AS n_classes
+    FROM solved""",
+)
 def train_eval_linreg(spark, sf):
-    return scored(train_tabular(regression(spark, sf), "regression", "linear_regression"), "linreg")
+    found = scored(train_tabular(regression(spark, sf), "regression", "linear_regression"), "linreg")
+    return found.withColumns({"r2": F.round("r2", 6), "rmse": F.round("rmse", 3)})
 
 
 @query("feature_importance")

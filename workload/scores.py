@@ -12,6 +12,7 @@ from workload.inputs import (
     SCORES_SQL,
     STUDY_SQL,
     WEIGHTS_SQL,
+    normal_sql,
     scores,
     split_sql,
     study,
@@ -389,6 +390,38 @@ LINE_KEY = "md5('42:' || concat_ws('|', " + ", ".join(
 ) + "))"
 
 
+LINE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query(
+    "segment_linear",
+    f"""WITH parts AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY {LINE_KEY})
+        <= ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM lineitem),
+    long AS (SELECT parts.*, p_brand FROM parts JOIN part ON l_partkey = p_partkey),
+    {normal_sql('long', LINE_FEATURES, 'l_extendedprice', 'p_brand')}
+    SELECT seg AS p_brand, n_train, n_test, round(w0, 4) AS quantity, round(w1, 2) AS discount,
+      round(w2, 2) AS tax, round(intercept, 2) AS intercept, round(rmse, 3) AS rmse, round(r2, 6) AS r2
+    FROM solved""",
+)
+def segment_linear(spark, sf):
+    lines = add_split(table(spark, sf, "lineitem").select(*LINE_COLUMNS))
+    brands = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    kept = lines.select("l_partkey", "split", "l_extendedprice", *LINE_FEATURES)
+    rows = lookup(kept, brands, "l_partkey", "inner")
+    found = segments.holdout_linear(rows, LINE_FEATURES, "l_extendedprice", ["p_brand"])
+    return found.select(
+        "p_brand",
+        "n_train",
+        "n_test",
+        F.round(F.col("coefficients")[0], 4).alias("quantity"),
+        F.round(F.col("coefficients")[1], 2).alias("discount"),
+        F.round(F.col("coefficients")[2], 2).alias("tax"),
+        F.round("intercept", 2).alias("intercept"),
+        F.round("rmse", 3).alias("rmse"),
+        F.round("r2", 6).alias("r2"),
+    )
+
+
 @query(
     "segment_experiments",
     f"""WITH parts AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY {LINE_KEY})
