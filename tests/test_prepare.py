@@ -103,7 +103,38 @@ def test_roundtrip_by_split(spark, tmp_path, gauges):
         assert back.count() == 10
 
 
-def test_exact_median_by_narrowing(spark):
+def test_order_keys_follow_the_doubles(spark):
+    import random
+    import struct
+    import sys
+
+    random.seed(2)
+    inf = float("inf")
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, -1.0, inf, -inf]
+    values += [sys.float_info.max, -sys.float_info.max, 0.1, 1 - 2**-53, 1 + 2**-52, 2.0**1023, 2.0**-1022]
+    values += [2.0**e * f for e in range(-1070, 1024, 41) for f in (1.0, -1.0)]
+    values += [v for v in (struct.unpack("d", random.randbytes(8))[0] for _ in range(3000)) if v == v]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    keys = [r.k for r in df.select(impute.order_key(F.col("x") + 0.0).alias("k")).collect()]
+    assert [impute.key_value(k) for k in keys] == values
+    assert [v for _, v in sorted(zip(keys, values))] == sorted(values)
+
+
+def test_medians_of_many_long_columns(spark):
+    import random
+    import statistics
+
+    random.seed(9)
+    rows = [[random.gauss(0, 10.0**j) if random.random() < 0.9 else None for j in range(6)] + [i % 3, None] for i in range(999)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double, g int, h double")
+    counts = {c: sum(r[j] is not None for r in rows) for j, c in enumerate("abcdefgh")}
+    found = impute.medians(df.repartition(7), counts, direct_rows=0)
+    for j, c in enumerate("abcdefg"):
+        assert found[c] == statistics.median(r[j] for r in rows if r[j] is not None), c
+    assert found["h"] is None
+
+
+def test_exact_median_of_long_columns(spark):
     import random
     import statistics
 
