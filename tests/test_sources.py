@@ -100,6 +100,35 @@ def test_result_blocks(spark):
     assert web.source == "web" and web.relevance_score == 0.5 and web.id == web.url
 
 
+def test_result_blocks_end_with_their_element(spark):
+    c = "result__title"
+    cases = [
+        f'<h2 class="{c}"><span>Ad</span> <a href=/x>One</a></h2><a href="/out">no</a>',
+        f'<div class={c}><div>in</div><p>open <a class="l" href=\'/y?a>b\'>T<i>w</i>o</a></div>',
+        f'<div class="{c}">none</div><a href="/late">late</a>',
+        f'<h3 class="x {c} y"><a>first has no address</a><a href="/z">z</a></h3>',
+        f'<div class="{c}"><b class="{c}"><a href="/in">in</a></b></div>',
+        f'<div class="{c}"><script>var t = "<a href=/js></div>";</script><!-- <a href="/c"> --><a href="/s">&#8364;&nbsp;&#x1F600; &amp;lt; &bad; &#0; &</a></div>',
+        f'<div title="class={c}"><a href="/t">t</a></div><p data-class="{c}"><a href="/u">u</a></p>',
+        f'<br class="{c}"><a href="/v">v</a><p class="{c}">reaches <a href="/end">the <b>end',
+        f'<DIV CLASS="{c}"><A HREF="/up"></A></DIV>',
+        "<a href='/none'>none</a>", "", None, f"< {c} <<a", f"<div class='{c}'" ,
+    ]
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, html string")
+    got = {}
+    for r in pages.result_links(df, "id").orderBy("id", "position").collect():
+        got.setdefault(r.id, []).append((r.position, r.url, r.name))
+    assert got == {
+        0: [(0, "/x", "One")], 1: [(0, "/y?a>b", "Two")], 4: [(0, "/in", "in"), (1, "/in", "in")],
+        5: [(0, "/s", "€\u00a0😀 &lt; &bad; \ufffd &")], 7: [(0, "/end", "the end")], 8: [(0, "/up", "/up")],
+    }
+    # The limit counts blocks, with a link or without.
+    many = spark.createDataFrame([(1, cases[2] + cases[0] * 3)], "id int, html string")
+    assert pages.result_links(many, "id", limit=2).count() == 1
+    long = cases[0] + "<p>word</p>" * 20_000 + cases[0]
+    assert pages.result_links(spark.createDataFrame([(1, long)], "id int, html string"), "id").count() == 2
+
+
 def test_run_records_skip_the_unreadable(spark, tmp_path):
     for name, text in {
         "b": json.dumps({"id": "b", "status": "training", "metrics": {"r2": 0.7},

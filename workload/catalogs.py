@@ -7,6 +7,7 @@ from assay.operators import catalog, search
 from assay.plans.cost import estimate_costs, rate_table
 from assay.plans.extract import parse_replies, validate_plans
 from assay.schemas import HOURLY_RATES
+from assay.sources.pages import RESULT_CLASS
 from assay.sources.pages import page_links as links_of
 from workload.inputs import CANDIDATE_SQL, PLANS_SQL, candidates, plan_rows, table, wide_table
 from workload.registry import query
@@ -185,6 +186,31 @@ def page_links(spark, sf):
     return links_of(wide_table(spark, sf, "pages"), "page_id")
 
 
+# List items become result blocks: some behind a closed tag, some with bare addresses and entities.
+BLOCKS_HTML = """replace(replace(replace(html,
+    '<li><a href="/d', '<li class=''big result__title'' data-x="a>b"><span class="ad">Ad</span><br><a class=x href="/d'),
+    '<li><a href="/t', concat('<li class=result__title><p>', chr(10), '<a title="</li>" HREF="/q?a=1&amp;t')),
+    '</a></li>', '&nbsp;&#233;&#x20AC;&amp;lt; </a><a href="/late">late</a></LI>')"""
+ITEM = """<li class=(?:result__title|'big result__title')[^>]*>(.*?)</li>"""
+
+
+@query(
+    "page_results",
+    rf"""WITH p AS (SELECT page_id, {BLOCKS_HTML} AS html FROM pages),
+    found AS (SELECT page_id, regexp_extract_all(replace(replace(html, 'title="</li>" ', ''), 'data-x="a>b"', ''),
+      $${ITEM}$$, 1, 'si')[:5] AS blocks FROM p),
+    long AS (SELECT page_id, unnest(blocks) AS b, generate_subscripts(blocks, 1) - 1 AS position FROM found),
+    raw AS (SELECT page_id, CAST(position AS INT) AS position,
+      regexp_extract(b, '<a[^>]* href="([^"]*)"', 1, 'si') AS u, regexp_extract(b, '<a[^>]*>(.*?)</a>', 1, 'si') AS t FROM long)
+    SELECT page_id, position, replace(u, '&amp;', '&') AS url,
+      replace(replace(replace(replace(trim(t), '&nbsp;', chr(160)), '&#233;', 'é'), '&#x20AC;', '€'), '&amp;', '&') AS name
+    FROM raw""",
+)
+def page_results(spark, sf):
+    pages = wide_table(spark, sf, "pages").selectExpr("page_id", f"{BLOCKS_HTML} AS html")
+    return links_of(pages, "page_id", result_class=RESULT_CLASS, limit=5)
+
+
 REASON = """CASE
   WHEN hypothesis IS NULL THEN 'hypothesis is missing'
   WHEN task_type NOT IN ('binary_classification', 'multiclass_classification', 'regression',
