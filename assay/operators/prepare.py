@@ -19,6 +19,7 @@ from assay.operators.columns import (
 from assay.operators.profile import (
     dataset_profile,
     profile_columns,
+    profile_record,
     target_distribution,
 )
 from assay.schemas import REGRESSION_TASKS
@@ -50,6 +51,11 @@ class Prepared:
         rows = self.frame.filter(F.col("split") == part)
         return rows.select(*self.key, *self.features), rows.select(*self.key, self.target)
 
+    def profile(self, exact: bool = False) -> DataFrame:
+        """The raw table's profile as one record; samples go by the first key, or by the first column."""
+        first = self.key[0] if self.key else self.source.columns[0]
+        return profile_record(self.source, self.target, self.task, first, exact)
+
     def columns_profile(self, approximate: bool = False) -> DataFrame:
         return profile_columns(self.source, approximate)
 
@@ -101,10 +107,14 @@ def prepare(
             if c in text
             else F.col(c).cast("int").alias(c)
             if isinstance(df.schema[c].dataType, T.BooleanType)
+            else F.col(c).cast("string").alias(c)
+            if isinstance(df.schema[c].dataType, T.NullType)
             else F.col(c)
             for c in used
         ),
     )
+    # The source is read once; fills, levels, the split and the result all come from what it gave.
+    raw = materialize(raw, "raw")
     hidden = [f"_key_{k}" for k in keys]
     rows, nulls = impute.missing_counts(raw.select(*used))
     empty = [c for c in numeric_columns(raw, used) if c != target and rows and nulls[c] == rows]

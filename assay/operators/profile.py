@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.operators.columns import (
@@ -12,12 +12,17 @@ from assay.operators.columns import (
     require_target,
     value_counts,
 )
-from assay.schemas import REGRESSION_TASKS
+from assay.schemas import DATA_PROFILE, REGRESSION_TASKS
 
 # Small-data warning and sample length.
 SMALL_ROWS = 100
 SAMPLE_VALUES = 5
 SMALL_WARNING = "Small dataset: only %d rows. Results may not be reliable."
+#: Rows of smallest key that samples are first looked for in, for all columns at once.
+SAMPLE_ROWS = 64
+#: Most classes that a record lists; all are in `target_counts`.
+RECORD_CLASSES = 1000
+CLASSES_WARNING = "The target has %d classes; the record lists the %d most frequent."
 
 
 def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -136,3 +141,82 @@ def target_distribution(df: DataFrame, target: str, task: str) -> DataFrame:
         )
     counts = target_counts(df, target)
     return counts.select(F.col("value").alias("name"), F.col("n").cast("double").alias("value"))
+
+
+def _head_values(clean: DataFrame, key: str, columns: list[str], size: int) -> dict[str, list[str]]:
+    """Per column the non-null values of the smallest keys, as text, ties by value.
+
+    One pass keeps a few whole rows in each task and settles every column that has enough values in
+    them; only columns that are nearly all null are looked through by themselves.
+    """
+    texts = [as_text(clean, c).alias(f"v{i}") for i, c in enumerate(columns)]
+    rows = clean.select(F.col(key).alias("_key"), *texts)
+    first = rows.orderBy("_key", *(f"v{i}" for i in range(len(columns)))).limit(SAMPLE_ROWS).collect()
+    last = first[-1]["_key"] if len(first) == SAMPLE_ROWS else None
+    found: dict[str, list[str]] = {}
+    for i, c in enumerate(columns):
+        own = sorted(((r["_key"], r[f"v{i}"]) for r in first if r[f"v{i}"] is not None), key=_null_first)
+        # Rows of the last key may go on behind the cut.
+        sure = [v for k, v in own if len(first) < SAMPLE_ROWS or k != last]
+        if len(sure) < size and len(first) == SAMPLE_ROWS:
+            more = rows.filter(F.col(f"v{i}").isNotNull()).orderBy("_key", f"v{i}").limit(size)
+            sure = [r[f"v{i}"] for r in more.select(f"v{i}").collect()]
+        found[c] = sure[:size]
+    return found
+
+
+def _null_first(pair: tuple) -> tuple:
+    return (pair[0] is not None, pair[0] if pair[0] is not None else 0, pair[1])
+
+
+def profile_record(
+    df: DataFrame, target: str, task: str, key: str, exact: bool = False, size: int = SAMPLE_VALUES
+) -> DataFrame:
+    """One row in the shape of DATA_PROFILE: its size is bounded by the columns, not by the rows.
+
+    One aggregate holds the row count, the nulls and a distinct sketch of every column, and the
+    moments of a numeric target; a second pass takes the samples. `exact` counts distinct values by
+    shuffling them instead of the sketch (its error is about 5 %). Classes beyond `RECORD_CLASSES`
+    are left to `target_counts`, with a warning.
+    """
+    require_target(df, target)
+    is_number = task in REGRESSION_TASKS
+    if is_number and not is_numeric(df.schema[target].dataType):
+        raise ValueError(f"target column '{target}' must be numeric for a regression profile")
+    clean = nan_to_null(df)
+    columns = df.columns
+    y = F.col(target).cast("double") if is_number else F.lit(None).cast("double")
+    sums = {"rows": F.count(F.lit(1)), "mean": F.avg(y), "std": F.stddev_samp(y), "min": F.min(y), "max": F.max(y)}
+    sums |= {f"n{i}": F.count(c) for i, c in enumerate(columns)}
+    if not exact:
+        sums |= {f"u{i}": _sketch(clean, c) for i, c in enumerate(columns)}
+    row = clean.agg(*(v.alias(k) for k, v in sums.items())).first()
+    if exact:
+        unique = {r["column_name"]: r["unique_count"] for r in profile_columns(df).collect()}
+    else:
+        unique = {c: row[f"u{i}"] for i, c in enumerate(columns)}
+    rows = row["rows"]
+    samples = _head_values(clean, key, columns, size)
+    warnings = [SMALL_WARNING % rows] if rows < SMALL_ROWS else []
+    if is_number:
+        spread = {m: row[m] for m in ("mean", "std", "min", "max")}
+    else:
+        counts = target_counts(df, target).orderBy(F.desc("n"), "value").limit(RECORD_CLASSES + 1).collect()
+        spread = {r["value"]: float(r["n"]) for r in counts[:RECORD_CLASSES]}
+        if len(counts) > RECORD_CLASSES:
+            warnings.append(CLASSES_WARNING % (target_counts(df, target).count(), RECORD_CLASSES))
+    known = {
+        c: (
+            df.schema[c].dataType.simpleString(),
+            (rows - row[f"n{i}"]) / rows if rows else None,
+            unique.get(c, 0),
+            samples[c],
+        )
+        for i, c in enumerate(columns)
+    }
+    record = (rows, len(columns), known, target, spread, task, warnings)
+    return df.sparkSession.createDataFrame([record], DATA_PROFILE)
+
+
+def _sketch(clean: DataFrame, column: str) -> Column:
+    return F.approx_count_distinct(as_text(clean, column))

@@ -161,6 +161,44 @@ def test_medians_of_many_columns_are_batched():
     assert impute._batches({}) == []
 
 
+def test_profile_record(spark):
+    from assay.operators import profile
+
+    rows = [(i // 2, float(i) if i % 3 else float("nan"), f"t{i % 7}", "late" if i in (300, 350) else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, x double, t string, r string").repartition(6)
+    ready = prepare(df, "t", "multiclass_classification", ["x"], key="k")
+    got = ready.profile().first()
+    assert (got.num_rows, got.num_columns, got.target_column, got.warnings) == (400, 4, "t", [])
+    assert got.columns["x"].null_pct == pytest.approx(134 / 400)
+    assert abs(got.columns["x"].unique_count - 266) < 30
+    assert got.columns["x"].sample_values == ["1.0", "2.0", "4.0", "5.0", "7.0"]
+    assert got.columns["r"].sample_values == ["late", "late"] and got.columns["r"].dtype == "string"
+    assert got.target_distribution == {f"t{j}": float(len([r for r in rows if r[2] == f"t{j}"])) for j in range(7)}
+    assert ready.profile(exact=True).first().columns["x"].unique_count == 266
+    number = profile.profile_record(df, "x", "regression", "k").first()
+    assert number.target_distribution["min"] == 1.0 and number.target_distribution["max"] == 398.0
+    few = profile.profile_record(df.limit(3), "t", "binary_classification", "k").first()
+    assert few.warnings == ["Small dataset: only 3 rows. Results may not be reliable."]
+    none = profile.profile_record(df.limit(0), "x", "regression", "k").first()
+    assert none.num_rows == 0 and none.columns["k"].null_pct is None and none.columns["k"].sample_values == []
+    many = spark.range(1500).selectExpr("id AS k", "CAST(id AS STRING) AS c")
+    wide = profile.profile_record(many, "c", "multiclass_classification", "k").first()
+    assert len(wide.target_distribution) == 1000 and "1500 classes" in wide.warnings[0]
+    with pytest.raises(ValueError, match="numeric"):
+        profile.profile_record(df, "t", "regression", "k")
+
+
+def test_the_source_is_read_once(spark, tmp_path):
+    """What prepare reads again is what it wrote, so a source that changes can't tear it apart."""
+    rows = spark.createDataFrame([(i, float(i), "ab"[i % 2], None) for i in range(50)], "k int, x double, c string, e void")
+    rows.drop("e").write.parquet(str(tmp_path / "t"))
+    source = spark.read.parquet(str(tmp_path / "t"))
+    ready = prepare(source, "x", "regression", ["c"], key="k")
+    spark.createDataFrame([(1, 1.0, "z")], "k int, x double, c string").write.mode("overwrite").parquet(str(tmp_path / "t"))
+    assert ready.frame.count() == 50
+    assert prepare(rows, "x", "regression", key="k").frame.count() == 50
+
+
 def test_mode_ties_and_nulls(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,), (None,), (None,)], "c string")
     found = impute.modes(value_counts(df, ["c"])).collect()

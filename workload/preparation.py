@@ -179,6 +179,39 @@ def profile_samples(spark, sf):
     return profile.profile_samples(study(spark, sf).select(*SAMPLE_COLUMNS), "o_orderkey")
 
 
+def record_sql(column: str) -> str:
+    kept = f"FROM study WHERE {column} IS NOT NULL"
+    return f"""SELECT '{column}' AS column_name,
+      (SELECT count(*) FROM study) AS num_rows, {len(SAMPLE_COLUMNS)} AS num_columns,
+      (SELECT round((count(*) - count({column})) / CAST(count(*) AS DOUBLE), 6) FROM study) AS null_pct,
+      (SELECT count(DISTINCT {column}) FROM study) AS unique_count,
+      (SELECT string_agg(v, '|' ORDER BY k) FROM
+        (SELECT CAST({column} AS VARCHAR) AS v, o_orderkey AS k {kept} ORDER BY o_orderkey LIMIT 5)) AS samples,
+      (SELECT round(avg(price), 4) FROM study) AS mean, (SELECT round(stddev_samp(price), 4) FROM study) AS std,
+      (SELECT min(price) FROM study) AS min, (SELECT max(price) FROM study) AS max"""
+
+
+@query("profile_record", f"WITH {STUDY_SQL} " + " UNION ALL ".join(record_sql(c) for c in SAMPLE_COLUMNS))
+def profile_record(spark, sf):
+    """The record of a prepared table, one row per column of it."""
+    rows = study(spark, sf).select(*SAMPLE_COLUMNS)
+    ready = prepare.prepare(rows, "price", "regression", ["acctbal", "segment"], key="o_orderkey")
+    spread = F.col("target_distribution")
+    columns = ready.profile(exact=True).select(F.explode("columns").alias("column_name", "c"), "*")
+    return columns.select(
+        "column_name",
+        "num_rows",
+        "num_columns",
+        F.round("c.null_pct", 6).alias("null_pct"),
+        F.col("c.unique_count").alias("unique_count"),
+        F.array_join("c.sample_values", "|").alias("samples"),
+        F.round(spread["mean"], 4).alias("mean"),
+        F.round(spread["std"], 4).alias("std"),
+        spread["min"].alias("min"),
+        spread["max"].alias("max"),
+    )
+
+
 @query(
     "dataset_profile",
     " UNION ALL ".join(
