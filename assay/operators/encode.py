@@ -3,7 +3,7 @@
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.operators.columns import as_text, value_counts
@@ -91,19 +91,58 @@ def apply_levels(
     null_level: str | None = None,
     unseen: int | None = None,
 ) -> DataFrame:
-    """Replace each column by its code; values not in the table become `unseen`."""
+    """Replace each column by its code (a long); values not in the table become `unseen`.
+
+    Columns of few levels are looked up by broadcast. All columns of many levels are looked up
+    together: their values in long form, one join with the dictionary, where hot values are met by
+    broadcast, and one regrouping by row.
+    """
     names = df.columns
+    large = [c for c in columns if not levels.small.get(c, True)]
     for column in columns:
+        if column in large:
+            continue
         codes = levels.table.filter(F.col("column_name") == column).select(
             F.col("value").alias("_level"), F.col("code").alias("_code")
         )
         value = F.coalesce(as_text(df, column), F.lit(null_level))
-        joined = lookup(
-            df.withColumn("_level", value), codes, "_level", small=levels.small.get(column, True)
-        )
+        joined = lookup(df.withColumn("_level", value), codes, "_level", small=True)
         code = F.col("_code") if unseen is None else F.coalesce("_code", F.lit(unseen))
-        df = joined.withColumn(column, code.cast("int")).select(*names)
-    return df
+        df = joined.withColumn(column, code.cast("long")).select(*names)
+    return _apply_large(df, levels, large, null_level, unseen) if large else df
+
+
+def _apply_large(
+    df: DataFrame, levels: Levels, columns: list[str], null_level: str | None, unseen: int | None
+) -> DataFrame:
+    """Codes of all columns of many levels by one dictionary join."""
+    names = df.columns
+    # Written once, so that a row keeps its number.
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "encode-rows")
+    entries = [
+        F.struct(
+            F.lit(i).alias("_c"), entry_key(F.lit(c), F.coalesce(as_text(df, c), F.lit(null_level))).alias("_entry")
+        )
+        for i, c in enumerate(columns)
+    ]
+    long = rows.select("_row", F.inline(F.array(*entries))).filter(F.col("_entry").isNotNull())
+    codes = levels.table.filter(F.col("column_name").isin(columns)).select(
+        entry_key(F.col("column_name"), F.col("value")).alias("_entry"), F.col("code").alias("_code")
+    )
+    found = lookup(long, codes, "_entry", "inner", small=False)
+    by_row = found.groupBy("_row").agg(
+        *(F.max(F.when(F.col("_c") == i, F.col("_code"))).alias(f"_code{i}") for i in range(len(columns)))
+    )
+    joined = rows.join(by_row, "_row", "left")
+    for i, c in enumerate(columns):
+        code = F.col(f"_code{i}") if unseen is None else F.coalesce(f"_code{i}", F.lit(unseen))
+        joined = joined.withColumn(c, code.cast("long"))
+    return joined.select(*names)
+
+
+def entry_key(column: Column, value: Column) -> Column:
+    """One key for a value of a column; null for a null value. A column's name holds no NUL."""
+    return F.concat(column, F.lit("\u0000"), value)
 
 
 def label_encode(df: DataFrame, columns: list[str], null_level: str | None = None) -> DataFrame:

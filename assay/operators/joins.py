@@ -12,11 +12,14 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # A key with more than this share of the rows is hot, so at most 1/share keys are.
 HOT_SHARE = 1e-4
 HOT_ROWS = 1_000_000
-SALTS = 256
+#: Slices of answered rows for each shuffle partition, so that these fill evenly.
+SALTS = 8
 
 
-def salt(df: DataFrame, salts: int = SALTS) -> Column:
+def salt(df: DataFrame, salts: int | None = None) -> Column:
     """Even spread of rows that a repeated task reproduces; equal rows differ by their part."""
+    if salts is None:
+        salts = SALTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
 
 

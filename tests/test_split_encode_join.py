@@ -115,3 +115,24 @@ def test_large_lookup_equals_a_plain_join(spark, how, hot_rows):
 def test_lookup_kind_is_checked(spark):
     with pytest.raises(ValueError):
         joins.lookup(spark.range(1), spark.range(1), "id", "full")
+
+
+def test_many_large_columns_share_one_dictionary_join(spark):
+    rows = [(i, "hot" if i % 3 else f"v{i}", None if i % 5 == 0 else f"w{i % 90}", f"s{i % 4}") for i in range(400)]
+    df = spark.createDataFrame(rows + rows[:1], "k int, a string, b string, c string").repartition(6)
+    levels = encode.fit_levels(df, ["a", "b", "c"])
+    plain = sorted(encode.apply_levels(df, levels, ["a", "b", "c"], unseen=0).collect())
+    large = encode.Levels(levels.table, {"a": False, "b": False, "c": True})
+    coded = encode.apply_levels(df, large, ["a", "b", "c"], unseen=0)
+    assert sorted(coded.collect()) == plain and coded.columns == df.columns
+    assert dict(coded.dtypes) == {"k": "int", "a": "bigint", "b": "bigint", "c": "bigint"}
+    none = encode.apply_levels(df, large, ["a", "b"]).filter("b IS NULL").count()
+    assert none == len([r for r in rows + rows[:1] if r[2] is None])
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_codes_beyond_an_int(spark, small):
+    table = spark.createDataFrame([("a", "x", 2**31 + 5), ("a", "y", 2**40)], "column_name string, value string, code long")
+    df = spark.createDataFrame([("x",), ("y",), ("z",), (None,)], "a string")
+    got = encode.apply_levels(df, encode.Levels(table, {"a": small}), ["a"])
+    assert sorted((r.a for r in got.collect()), key=str) == sorted([2**31 + 5, 2**40, None, None], key=str)
