@@ -11,7 +11,7 @@ a bounded sample (`SAMPLE` rows of smallest id hash) and only steer the order: r
 for any pivots.
 
 Edge cases: vectors that are null or hold a null or non-finite component, and rows without an id,
-take no part. Vectors of different length are never compared. Equal scores go by the smaller id.
+take no part. Vectors of different length are never compared; empty ones score 0. Equal scores go by the smaller id.
 Repeated rows count once; an id with several vectors keeps the smallest in array order. A query
 with fewer candidates than k gets all of them. Scores beyond the range of a long are clipped to
 it. Other columns are ignored. An empty table gives no rows.
@@ -54,7 +54,8 @@ def choose_pivots(vectors: DataFrame, n: int = PIVOTS) -> dict[int, np.ndarray]:
     sample = vectors.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).collect()
     pivots = {}
     for dim in {r.dim for r in sample}:
-        x = np.array([r.vec for r in sample if r.dim == dim]).reshape(-1, dim)
+        own = [r.vec for r in sample if r.dim == dim]
+        x = np.array(own, dtype=np.float64).reshape(len(own), dim)
         chosen, gap = [0], np.full(len(x), np.inf)
         while len(chosen) < min(n, len(x)):
             gap = np.minimum(gap, np.linalg.norm(x - x[chosen[-1]], axis=1))
@@ -71,7 +72,7 @@ def _pack(pivots: dict[int, np.ndarray]):
         vecs = np.array(x["vec"].to_list(), dtype=np.float64).reshape(len(x), dim)
         p = pivots.get(dim, np.zeros((0, dim)))
         with np.errstate(over="ignore", invalid="ignore"):
-            far = np.array([np.linalg.norm(vecs - q, axis=1) for q in p]).reshape(-1, len(x))
+            far = np.array([np.linalg.norm(vecs - q, axis=1) for q in p]).reshape(len(p), len(x))
         small = not vecs.size or np.abs(vecs).max() < 2**15
         return pd.DataFrame(
             {
@@ -80,7 +81,7 @@ def _pack(pivots: dict[int, np.ndarray]):
                 "ids": [x["vec_id"].to_numpy(np.int64).tobytes()],
                 "kind": ["i2" if small else "f8"],
                 "vecs": [vecs.astype("i2" if small else "f8").tobytes()],
-                "far": [far.astype(np.float32).tobytes()],
+                "far": [far.tobytes()],
             }
         )
 
@@ -100,7 +101,7 @@ def _unpack(x: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     row = x.iloc[0]
     ids = np.frombuffer(row["ids"], np.int64)
     vecs = np.frombuffer(row["vecs"], row["kind"]).reshape(len(ids), dim).astype(np.float64)
-    far = np.frombuffer(row["far"], np.float32).reshape(-1, len(ids))
+    far = np.frombuffer(row["far"], np.float64).reshape(-1, len(ids)) if len(row["far"]) else np.zeros((0, len(ids)))
     return ids, vecs, far
 
 
@@ -159,6 +160,7 @@ class _Block:
     def __init__(self, ids: np.ndarray, vecs: np.ndarray, far: np.ndarray) -> None:
         self.ids, self.vecs, self.far = ids, vecs, far
         self.norms = (vecs.astype(np.float64) ** 2).sum(axis=1)
+        self.reach = far.max(axis=0, initial=0.0)
         self.gap, self.most = np.empty((2, len(ids)), dtype=far.dtype)
 
     def bounds(self, own: int, q: np.ndarray, q_far: np.ndarray) -> np.ndarray:
@@ -169,8 +171,10 @@ class _Block:
             np.abs(self.gap, out=self.gap)
             np.maximum(self.most, self.gap, out=self.most)
         size = self.norms + float(np.dot(q.astype(np.float64), q))
-        # Distances are rounded; the slack is above their error.
-        bound = (size - self.most.astype(np.float64) ** 2) / 2 + 1e-5 * size + 1e-6
+        # Distances are rounded by less than this share of their size, however far a pivot lies off.
+        self.most -= 1e-12 * (self.reach + q_far.max(initial=0.0))
+        np.maximum(self.most, 0, out=self.most)
+        bound = (size - self.most**2) / 2 + 1e-9 * size + 1e-6
         bound[self.ids == own] = -np.inf
         return bound
 
