@@ -4,16 +4,23 @@ A change is a signed row: an insert adds a document and its tokens, a delete sub
 revised count is the delete of the old row and the insert of the new one. A batch of changes is
 summed per group before it is stored, so the ledger grows with groups and batches, not documents.
 
-A batch is committed in two steps: its sums are written to a folder of its own, replacing what a
-failed attempt may have left, then its name is added to the list of commits. Totals count only
-listed batches, each once: a batch that is repeated, or listed twice by two drivers, changes
-nothing, and one that failed midway isn't seen.
+A batch is committed in two steps: an attempt writes its sums to a folder of its own, then lists
+batch, attempt and time. Totals count of every listed batch the attempt that was listed first: a
+batch that is repeated, or committed by two drivers at once, changes nothing, what a failed attempt
+left isn't seen, and no attempt overwrites another's files.
+
+`compact` adds up what is committed so far into a snapshot, which also lists the batches in it.
+Totals are those of the snapshot with the most batches and of the batches that it doesn't have; a
+snapshot is listed after it is whole, and older ones stay valid, so readers and other drivers need
+not wait.
 
 Edge cases: a null or empty text has no tokens and counts as a document; null sources, languages
 and versions are groups of their own. Repeated rows are separate changes. Groups whose documents
 and tokens have all gone are left out of the totals. An empty batch can be committed.
 """
 
+import time
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,9 +28,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.scratch import materialize
+
 GROUP = ["source", "lang", "version"]
 DELTAS = "source string, lang string, version string, docs long, tokens long"
-COMMITS = "batch string"
+COMMITS = "batch string, attempt string, at long"
+SNAPSHOTS = "snapshot string, batches long"
 
 
 @lru_cache(maxsize=8)
@@ -87,32 +97,70 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        # Appending nothing makes both folders readable from the start.
-        spark.createDataFrame([], COMMITS).write.mode("append").parquet(f"{self.path}/commits")
+        # Appending nothing makes these readable from the start.
+        for name, schema in (("commits", COMMITS), ("snapshots", SNAPSHOTS)):
+            spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}")
 
     def commits(self) -> DataFrame:
-        """Names of the committed batches."""
-        return self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits").distinct()
+        """batch and attempt of the committed batches: of each the attempt listed first."""
+        listed = self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits")
+        return listed.groupBy("batch").agg(F.min_by("attempt", F.struct("at", "attempt")).alias("attempt"))
 
-    def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """Add a batch; False, and nothing done, when it is in already."""
+    def prepare(self, batch: str, deltas: DataFrame) -> str:
+        """First step: the sums of a batch, in a folder of this attempt's own."""
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError(f"batch names are letters, digits, - and _: {batch!r}")
+        attempt = uuid.uuid4().hex
+        sums = deltas.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        sums.write.parquet(f"{self.path}/ledger/batch={batch}/attempt={attempt}")
+        return attempt
+
+    def publish(self, batch: str, attempt: str) -> None:
+        """Second step: from here on the batch counts, unless another attempt was listed before."""
+        row = [(batch, attempt, time.time_ns())]
+        self.spark.createDataFrame(row, COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+
+    def commit(self, batch: str, deltas: DataFrame) -> bool:
+        """Add a batch; False, and nothing done, when it is in already."""
         if not self.commits().filter(F.col("batch") == batch).isEmpty():
             return False
-        sums = deltas.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/ledger/batch={batch}")
-        self.spark.createDataFrame([(batch,)], COMMITS).write.mode("append").parquet(f"{self.path}/commits")
+        self.publish(batch, self.prepare(batch, deltas))
         return True
 
+    def _snapshot(self) -> str | None:
+        best = self.spark.read.schema(SNAPSHOTS).parquet(f"{self.path}/snapshots")
+        row = best.orderBy(F.desc("batches"), "snapshot").first()
+        return row.snapshot if row else None
+
+    def _parts(self) -> tuple[DataFrame, DataFrame]:
+        """Sums of the snapshot and of the batches after it, and the names of all these batches."""
+        commits, snapshot = self.commits(), self._snapshot()
+        sums = self.spark.createDataFrame([], DELTAS)
+        if snapshot:
+            names = self.spark.read.schema("batch string").parquet(f"{self.path}/snapshot/{snapshot}/batches")
+            sums = self.spark.read.schema(DELTAS).parquet(f"{self.path}/snapshot/{snapshot}/sums")
+            commits = commits.join(names, "batch", "left_anti")
+        if not commits.isEmpty():
+            ledger = self.spark.read.schema(f"{DELTAS}, batch string, attempt string").parquet(f"{self.path}/ledger")
+            later = ledger.join(commits, ["batch", "attempt"], "left_semi")
+            sums = sums.unionByName(later.select(sums.columns))
+        return sums, commits.select("batch").unionByName(names) if snapshot else commits.select("batch")
+
+    def compact(self) -> None:
+        """Write a snapshot of what is committed, in three steps: sums, names, and its listing."""
+        sums, names = self._parts()
+        name = uuid.uuid4().hex
+        # The names first: sums of exactly these, whatever is committed meanwhile.
+        held = materialize(names, "rollup-names")
+        _added(sums).write.parquet(f"{self.path}/snapshot/{name}/sums")
+        held.write.parquet(f"{self.path}/snapshot/{name}/batches")
+        row = [(name, held.count())]
+        self.spark.createDataFrame(row, SNAPSHOTS).coalesce(1).write.mode("append").parquet(f"{self.path}/snapshots")
+
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens over all committed batches."""
-        if self.commits().isEmpty():
-            return self.spark.createDataFrame([], DELTAS)
-        ledger = self.spark.read.schema(f"{DELTAS}, batch string").parquet(f"{self.path}/ledger")
-        return (
-            ledger.join(self.commits(), "batch", "left_semi")
-            .groupBy(*GROUP)
-            .agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-            .filter("docs != 0 OR tokens != 0")
-        )
+        return _added(self._parts()[0]).filter("docs != 0 OR tokens != 0")
+
+
+def _added(sums: DataFrame) -> DataFrame:
+    return sums.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
