@@ -20,9 +20,9 @@ compared with a head of the bucket, links are merged into components, and only b
 hold several components go on, with more and other heads (pairs whose whole signatures differ by
 far more than those of linked texts do aren't compared); then all pairs of nodes from different
 components that remain in a bucket meet in blocks inside a task, so no link between components is
-lost. For this last step the nodes that are left get a finer signature (FINE positions), and only
-pairs that agree in it as linked texts do become rows and are compared. Pairs inside a component
-can't change the classes and are not compared.
+lost. For this last step the nodes that are left get a finer signature (FINE positions); pairs that
+agree in it as linked texts do are verified inside tasks (`_last_links`), and only links that join
+something become rows. Pairs inside a component can't change the classes and are not compared.
 
 Edge cases: null texts and texts without words are in classes of their own, except that non-blank
 texts without words are one class where they are equal. Texts of up to three runs only match equal
@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.llm.workers import releasing
 from assay.scratch import materialize
 
 WORDS, SIMILARITY = 5, 0.8
@@ -47,8 +48,9 @@ M = BANDS * ROWS
 #: Heads per bucket in each round, before all pairs that remain are compared. Large buckets mostly
 #: hold variants of one text, and a variant misses all of several heads ever less often.
 HEADS = (1, 3)
-#: Nodes of a bucket meet in blocks of about this size.
-BLOCK = 256
+#: Nodes of a bucket or cluster meet in blocks of about this size, with so many runs at most where
+#: they bring their multisets.
+BLOCK, RUNS_PER_BLOCK = 256, 400_000
 #: Positions of the signature that screens the last step.
 FINE = 1024
 #: Positions of M and of FINE in which linked texts agree at least. At similarity 0.8 the expected
@@ -59,7 +61,7 @@ LEAST_AGREEING, LEAST_FINE = 100, 766
 CHUNK = 150_000
 WORD = re.compile(r"\w+")
 #: Word hashes that a worker remembers.
-CACHE = 250_000
+CACHE = 60_000
 U = np.uint64
 
 
@@ -202,7 +204,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
                 yield _sketch(ids, nodes, sets)
 
     rows = docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
-    return rows.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).mapInPandas(run, SKETCH)
+    return rows.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).mapInPandas(releasing(run), SKETCH)
 
 
 def _sketch(ids: list, nodes: list, sets: list) -> pd.DataFrame:
@@ -241,7 +243,7 @@ def _multisets(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInPandas(run, "_id long, runs binary, counts binary")
+    return rows.mapInPandas(releasing(run), "_id long, runs binary, counts binary")
 
 
 def _fine_marks(multisets: DataFrame) -> DataFrame:
@@ -259,7 +261,7 @@ def _fine_marks(multisets: DataFrame) -> DataFrame:
                 marks = marks_of(signatures(hashes, counts, doc, len(part), FINE))
                 yield pd.DataFrame({"_id": part["_id"], "marks": [x.tobytes() for x in marks]})
 
-    return multisets.mapInPandas(run, "_id long, marks binary")
+    return multisets.mapInPandas(releasing(run), "_id long, marks binary")
 
 
 def overlap(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> tuple[int, int]:
@@ -360,21 +362,21 @@ def _head_pairs(buckets: DataFrame, step: int, n: int, similarity: float) -> Dat
     return met.mapInPandas(run, "a long, b long").distinct()
 
 
-def _all_pairs(buckets: DataFrame, nodes: DataFrame, multisets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of nodes of different components in a bucket whose sizes and fine signatures allow a
-    link. The nodes of a bucket meet block by block; a task holds two blocks at a time. A pair is
-    given out once, by the first bucket that it shares: of different components, it remains in all."""
-    asked = materialize(buckets.select("_id").distinct(), "asked")
-    bands = nodes.select(F.col("head").alias("_id"), "bands").join(asked, "_id", "left_semi")
-    fine = materialize(_fine_marks(multisets.join(asked, "_id", "left_semi")).join(bands, "_id"), "fine")
-    sizes = buckets.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    rows = buckets.select("key", "_id", "label", "weight").join(sizes, "key")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("_id", F.lit(9)), "_blocks").cast("int")).withColumn(
-        "_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    )
-    rows = rows.select(
-        "key", F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"), "part", "_id", "label", "weight"
-    )
+def _in_blocks(rows: DataFrame, group: str, runs_per_block: int | None = None) -> DataFrame:
+    """Rows of a group dealt into blocks, one copy of a row for each block that its own meets: group,
+    i, j (the blocks of a meeting, i <= j) and part (the row's own block)."""
+    blocks = F.count("*") / BLOCK
+    if runs_per_block:
+        blocks = F.greatest(blocks, F.sum("weight") / runs_per_block)
+    sizes = rows.groupBy(group).agg(F.ceil(blocks).cast("int").alias("_blocks"))
+    dealt = rows.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("_id", F.lit(9)), "_blocks").cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    ends = [F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j")]
+    return dealt.select(group, *ends, "part", "_id", "label", "weight")
+
+
+def _meetings(rows: DataFrame, group: str, meet) -> DataFrame:
+    """Pairs (a, b) out of every meeting of two blocks, one at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -382,18 +384,40 @@ def _all_pairs(buckets: DataFrame, nodes: DataFrame, multisets: DataFrame, simil
             x = x if rest is None else pd.concat([rest, x], ignore_index=True)
             if not len(x):
                 continue
-            names = x[["key", "i", "j"]].to_numpy()
+            names = x[[group, "i", "j"]].to_numpy()
             starts = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1)])
             # The last meeting may go on in the next batch.
-            found = [_meet(x.iloc[a:b], similarity) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            found = [meet(x.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
             rest = x.iloc[starts[-1] :]
             yield _one_table(found)
         if rest is not None:
-            yield _one_table([_meet(rest, similarity)])
+            yield _one_table([meet(rest)])
+
+    order = [group, "i", "j"]
+    met = rows.repartition(*order).sortWithinPartitions(*order)
+    return met.mapInPandas(releasing(run), "a long, b long")
+
 
-    order = ["key", "i", "j"]
-    met = rows.join(fine, "_id").repartition(*order).sortWithinPartitions(*order)
-    return met.mapInPandas(run, "a long, b long")
+def _last_links(buckets: DataFrame, multisets: DataFrame, similarity: float) -> DataFrame:
+    """Links that join the components which still share a bucket, a spanning forest of them for each
+    meeting of blocks, so that rows grow with the nodes and not with the pairs of a bucket.
+
+    First, nodes that may be linked (of different components, by size and fine signature) are gathered
+    into candidate clusters: every meeting gives a star per connected group of its candidate pairs.
+    Then the nodes of a cluster meet with their multisets, once for each two blocks and not once for
+    each bucket, candidates are verified there, the most alike first, and a pair that its meeting has
+    joined already is passed over. Every candidate pair lies in one cluster and so in one meeting.
+    """
+    asked = materialize(buckets.select("_id").distinct(), "asked")
+    fine = materialize(_fine_marks(multisets.join(asked, "_id", "left_semi")), "fine")
+    rows = _in_blocks(buckets.select("key", "_id", "label", "weight"), "key")
+    stars = _meetings(rows.join(fine, "_id"), "key", lambda x: _stars(x, similarity))
+    clusters = components(stars.distinct())
+    nodes = buckets.select("_id", "label", "weight").distinct()
+    placed = nodes.join(clusters.select(F.col("id").alias("_id"), F.col("label").alias("cluster")), "_id")
+    rows = _in_blocks(materialize(placed, "clusters"), "cluster", RUNS_PER_BLOCK)
+    rows = rows.join(fine, "_id").join(multisets, "_id")
+    return _meetings(rows, "cluster", lambda x: _forest(x, similarity))
 
 
 def _one_table(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
@@ -402,8 +426,9 @@ def _one_table(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _meet(x: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the pairs of one block with itself or another that may be links."""
+def _candidates(x: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of one block with itself or another that may be links, and in how many
+    positions of the fine signature they agree."""
     part, i, j = x["part"].to_numpy(), x["i"].iat[0], x["j"].iat[0]
     ids, labels, weights = (x[c].to_numpy() for c in ("_id", "label", "weight"))
     left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
@@ -412,17 +437,54 @@ def _meet(x: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     fits &= np.minimum(weights[a], weights[b]) >= similarity * np.maximum(weights[a], weights[b]) - 1e-9
     a, b = a[fits], b[fits]
     if not len(a):
-        return ids[a], ids[b]
+        return a, b, a
     marks = _marks(x["marks"])
-    keep = [agreements(marks[a[at : at + 4096]], marks[b[at : at + 4096]]) for at in range(0, len(a), 4096)]
-    may = np.concatenate(keep) >= LEAST_FINE
-    a, b = a[may], b[may]
-    if not len(a):
-        return ids[a], ids[b]
-    bands = np.stack(x["bands"].to_list())
-    first = (bands[a] == bands[b]).argmax(axis=1)
-    here = bands[a, first] == x["key"].iat[0]
-    return ids[a[here]], ids[b[here]]
+    alike = np.concatenate([agreements(marks[a[at : at + 4096]], marks[b[at : at + 4096]]) for at in range(0, len(a), 4096)])
+    may = alike >= LEAST_FINE
+    return a[may], b[may], alike[may]
+
+
+def _stars(x: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of a connected group of candidates with the first of its group."""
+    ids = x["_id"].to_numpy()
+    a, b, _ = _candidates(x, similarity)
+    group = np.arange(len(ids))
+    while len(a):
+        low = np.minimum(group[a], group[b])
+        before = group.copy()
+        np.minimum.at(group, group[a], low)
+        np.minimum.at(group, group[b], low)
+        group = group[group]
+        if (group == before).all():
+            break
+    moved = np.flatnonzero(group != np.arange(len(ids)))
+    return ids[moved], ids[group[moved]]
+
+
+def _forest(x: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links of a meeting that join what no earlier one of it has joined."""
+    ids, labels = x["_id"].to_numpy(), x["label"].to_numpy()
+    a, b, alike = _candidates(x, similarity)
+    order = np.argsort(-alike, kind="stable")
+    sets = list(zip(x["runs"], x["counts"], strict=True))
+    above = {label: label for label in np.unique(labels).tolist()}
+
+    def top(label: int) -> int:
+        while above[label] != label:
+            above[label] = above[above[label]]
+            label = above[label]
+        return label
+
+    kept = []
+    for at in order:
+        one, two = top(int(labels[a[at]])), top(int(labels[b[at]]))
+        if one == two:
+            continue
+        common, union = overlap(sets[a[at]], sets[b[at]])
+        if common >= similarity * union - 1e-9:
+            above[max(one, two)] = min(one, two)
+            kept.append(at)
+    return ids[a[kept]], ids[b[kept]]
 
 
 def near_duplicates(
@@ -462,16 +524,14 @@ def near_duplicates(
     for step in range(len(heads) + 1):
         if buckets.isEmpty():
             break
-        if step < len(heads):
-            pairs = _head_pairs(buckets, step, heads[step], similarity)
-        else:
-            pairs = _all_pairs(buckets, nodes, multisets, similarity)
+        if step == len(heads):
+            links = materialize(links.unionByName(_last_links(buckets, multisets, similarity)), "links")
+            break
+        pairs = _head_pairs(buckets, step, heads[step], similarity)
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = linked(pairs, multisets, similarity)
-        links = materialize(links.unionByName(found), "links")
+        links = materialize(links.unionByName(linked(pairs, multisets, similarity)), "links")
         tried = tried.unionByName(pairs)
-        if step < len(heads):
-            buckets = materialize(_labelled(buckets, components(links)), "buckets")
+        buckets = materialize(_labelled(buckets, components(links)), "buckets")
     copies = sketch.filter("node IS NOT NULL").join(nodes.select("node", "head"), "node").select("_id", "head")
     repeated = copies.filter("_id != head").select(F.col("_id").alias("a"), F.col("head").alias("b"))
     versions = sketch.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
