@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm.workers import releasing
+
 SPACE = "▁".encode()
 REPLACEMENT = "�".encode()
 #: Texts given to the library at once, in characters.
@@ -187,7 +189,7 @@ def _run(df: DataFrame, text: str, schema: str, rows, kept: list[str]) -> DataFr
                 part = x[kept].iloc[a:b].reset_index(drop=True)
                 yield pd.concat([part, made], axis=1)
 
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(text, F.lit("")).alias("_text")).mapInPandas(run, out)
+    return df.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(text, F.lit("")).alias("_text")).mapInPandas(releasing(run), out)
 
 
 def encode(df: DataFrame, model: str, text: str = "text") -> DataFrame:

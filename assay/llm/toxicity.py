@@ -31,6 +31,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm.workers import release
 from assay.scratch import materialize
 
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
@@ -80,7 +81,7 @@ EDGE = re.compile(r"^\W+|\W+$")
 STRETCHED = re.compile(r"(\w)\1\1")
 INNER = re.compile(r"[^\w]")
 #: Tokens whose features a worker remembers.
-CACHE = 200_000
+CACHE = 50_000
 
 
 def entries_of(word: str) -> list[str]:
@@ -168,6 +169,8 @@ def feature_column(text: Column, lexicon: dict[str, float]) -> Column:
         rows = Features(lexicon)
         for texts in batches:
             yield pd.Series([rows.row(t) for t in texts])
+        rows.seen.clear()
+        release()
 
     return F.pandas_udf(features, "array<double>")(F.coalesce(text, F.lit("")))
 

@@ -329,3 +329,58 @@ def test_toxicity_with_parts_that_hold_no_labelled_text(spark):
     sample = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic")
     assert "idiot" in toxicity.learn_lexicon(sample.repartition(97, "_id"))
     assert toxicity.learn_lexicon(sample.filter("label = 1").repartition(7, "_id")) == {}
+
+
+def test_top_k_with_a_far_vector_and_empty_ones(spark):
+    """Bounds hold beside a vector millions of times as long, which is a pivot of every block."""
+    rng = np.random.default_rng(12)
+    middle = rng.normal(size=(5, 8))
+    rows = [(i, [float(v) for v in middle[i % 5] + 0.05 * rng.normal(size=8)]) for i in range(400)]
+    rows += [(1000, [4e6 * v for v in rows[3][1]]), (1010, [-8e6 * v for v in rows[7][1]])]
+    rows += [(2000 + 10 * i, []) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_search.top_k(df, F.col("vec_id") % 10 == 0, k=5, candidate_block=100).collect()
+    x = {i: [int(np.floor(c * 64)) for c in v] for i, v in rows}
+    want = set()
+    for q in (i for i in x if i % 10 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(x[q], x[c], strict=True)), c) for c in x if c != q and len(x[c]) == len(x[q]))
+        want |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(scored[:5])}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
+
+
+def test_two_drivers_commit_one_batch(spark):
+    """Of two attempts that both found the batch missing, the one listed first counts, for good."""
+    path = scratch_path(spark, "rollup-race")
+    rows = spark.createDataFrame([("s", "en", "v", 5)], token_rollup.DELTAS.replace("docs long, ", ""))
+    other = spark.createDataFrame([("s", "en", "v", 9)], rows.schema)
+    one, two = token_rollup.Rollup(spark, path), token_rollup.Rollup(spark, path)
+    late = two.prepare("load", token_rollup.inserts(other))
+    assert one.commit("load", token_rollup.inserts(rows))
+    total = lambda: [tuple(r) for r in one.totals().collect()]
+    assert total() == [("s", "en", "v", 1, 5)]
+    two.publish("load", late)
+    assert total() == [("s", "en", "v", 1, 5)]
+    one.prepare("lost", token_rollup.inserts(other))
+    assert total() == [("s", "en", "v", 1, 5)]
+    assert not two.commit("load", token_rollup.inserts(other))
+
+
+def test_snapshots_change_no_total(spark):
+    path = scratch_path(spark, "rollup-snap")
+    rollup = token_rollup.Rollup(spark, path)
+    rows = [spark.createDataFrame([("s", "en", f"v{i % 2}", i)], "source string, lang string, version string, tokens long") for i in range(4)]
+    total = lambda: sorted(tuple(r) for r in rollup.totals().collect())
+    rollup.compact()
+    assert total() == []
+    rollup.commit("a", token_rollup.inserts(rows[0]))
+    rollup.commit("b", token_rollup.inserts(rows[1]))
+    rollup.compact()
+    assert total() == [("s", "en", "v0", 1, 0), ("s", "en", "v1", 1, 1)]
+    assert not rollup.commit("a", token_rollup.inserts(rows[0]))
+    rollup.commit("c", token_rollup.inserts(rows[3]))
+    assert total() == [("s", "en", "v0", 1, 0), ("s", "en", "v1", 2, 4)]
+    # A snapshot that was written but never listed isn't seen.
+    rows[2].selectExpr("source", "lang", "version", "7L AS docs", "tokens").write.parquet(f"{path}/snapshot/lost/sums")
+    rollup.compact()
+    rollup.commit("d", token_rollup.deletes(rows[0]))
+    assert total() == [("s", "en", "v1", 2, 4)]
