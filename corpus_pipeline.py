@@ -16,11 +16,12 @@ from assay.scratch import materialize
 
 #: Rows that a Python worker gets at a time: whole texts are long, Spark's default is 10,000.
 BATCH_ROWS = 1000
+ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _short_batches(spark: SparkSession) -> None:
     """Bounds the memory of the stages' Python workers; read when a stage is written."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set(ROWS_SETTING, BATCH_ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +63,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder; the caller's batch size is as before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    before = spark.conf.get(ROWS_SETTING, None)
+    try:
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    finally:
+        if before is None:
+            spark.conf.unset(ROWS_SETTING)
+        else:
+            spark.conf.set(ROWS_SETTING, before)
     return docs
