@@ -149,7 +149,12 @@ def _index_labels(frame: DataFrame, target: str) -> StringIndexerModel:
 
 
 def train_tabular(
-    prepared: Prepared, task: str, model_type: str = "xgboost", n_estimators: int = TREES
+    prepared: Prepared,
+    task: str,
+    model_type: str = "xgboost",
+    n_estimators: int = TREES,
+    max_depth: int | None = None,
+    max_bins: int | None = None,
 ) -> Trained:
     """Fit on numeric features; rows are kept assembled while the fit iterates."""
     if not prepared.features:
@@ -172,9 +177,10 @@ def train_tabular(
     train = assembled(prepared.train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = train.count()
-        model = build_estimator(model_type, task, n_estimators, classes or 2, rows).fit(
-            _balance(train, rows)
+        estimator = build_estimator(
+            model_type, task, n_estimators, classes or 2, rows, max_depth, max_bins
         )
+        model = estimator.fit(_balance(train, rows))
     finally:
         train.unpersist()
     scored = model.transform(assembled(prepared.test)).select("label", "prediction")
