@@ -1,11 +1,13 @@
 """Live status of runs: the event log as a stream instead of a polling loop."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from assay.operators.runs import latest_runs
 from assay.schemas import RUN_EVENT
+from assay.sources.run_log import RunLog
+
+#: Batches between two compactions of the watched table.
+COMPACT_EVERY = 16
 
 
 def stream_events(
@@ -18,20 +20,24 @@ def stream_events(
     return reader.parquet(path)
 
 
-def watch_runs(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Write the runs each micro-batch changed to `table`; stops once the log is read.
+def watch_runs(
+    events: DataFrame, table: str, checkpoint: str, compact_every: int = COMPACT_EVERY
+) -> StreamingQuery:
+    """Keep the state of runs in the run log at `table`; stops once the stream is read.
 
-    State is one small row per run. A batch replaces only its own folder, so a
-    repeated batch leaves the table as it was.
+    The stream itself has no state: a batch appends its cells, and these are merged into snapshots
+    every `compact_every` batches. A repeated batch leaves the state as it was.
     """
 
-    def save(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{table}/batch={batch}")
+    def save(batch: DataFrame, number: int) -> None:
+        log = RunLog(batch.sparkSession, table)
+        log.append(batch)
+        if number % compact_every == compact_every - 1:
+            log.compact()
+            log.vacuum()
 
     return (
-        latest_runs(events)
-        .writeStream.outputMode("update")
-        .foreachBatch(save)
+        events.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -40,6 +46,4 @@ def watch_runs(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery
 
 def current_runs(spark: SparkSession, table: str) -> DataFrame:
     """Latest state per run out of the watched table."""
-    row = F.struct("status", "error", "seq")
-    found = spark.read.parquet(table).groupBy("run_id").agg(F.max_by(row, "batch").alias("r"))
-    return found.select("run_id", "r.*")
+    return RunLog(spark, table).latest()

@@ -15,7 +15,9 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-DEFAULT = ["hypothesis_slice", "prepare_full", "plan_extract", "answers", "runs_latest"]
+DEFAULT = [
+    "hypothesis_slice", "prepare_full", "plan_extract", "answers", "runs_latest", "runs_compacted", "metrics_compacted",
+]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("ASSAY_ALL_QUERIES") else DEFAULT
 
 duckdb = pytest.importorskip("duckdb")

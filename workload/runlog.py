@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 from assay.operators import answers, runs
 from assay.scratch import scratch_path
 from assay.sources import records
+from assay.sources.run_log import RunLog
 from assay.streaming.status import current_runs, stream_events, watch_runs
 from workload.inputs import EVENTS_SQL, event_rows, plan_rows, run_events, table
 from workload.registry import query
@@ -32,6 +33,28 @@ def runs_watch(spark, sf):
     return current_runs(spark, out)
 
 
+def compacted(spark, sf):
+    """The events in four appends, with a compaction behind each of the first three."""
+    log = RunLog(spark, scratch_path(spark, "runlog"))
+    events = run_events(spark, sf)
+    for part in range(4):
+        log.append(events.filter(F.col("seq") % 4 == part))
+        if part < 3:
+            log.compact()
+            log.vacuum()
+    return log
+
+
+@query("runs_compacted", f"WITH {LATEST_SQL} SELECT run_id, status, error, seq FROM latest")
+def runs_compacted(spark, sf):
+    return compacted(spark, sf).latest()
+
+
+@query("metrics_compacted", f"WITH {LATEST_SQL} SELECT run_id, name, value FROM merged")
+def metrics_compacted(spark, sf):
+    return compacted(spark, sf).metrics()
+
+
 @query(
     "runs_metrics_merged", f"WITH {LATEST_SQL} SELECT run_id, name, value FROM merged"
 )
