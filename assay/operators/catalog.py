@@ -113,7 +113,8 @@ def landed_files(files: DataFrame) -> DataFrame:
 def split_by_cache(candidates: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits with their local path, misses still to fetch).
 
-    A miss of an unknown source is a failed row with its error, not an exception.
+    A miss of an unknown source is a failed row with its error, not an exception; `success` of the
+    others is null until they are fetched.
     """
     keyed = with_cache_key(candidates)
     landed = landed_files(files)
@@ -124,11 +125,12 @@ def split_by_cache(candidates: DataFrame, files: DataFrame) -> tuple[DataFrame,
         .withColumn("cached", F.lit(True))
     )
     keys = landed.select("cache_key")
-    misses = lookup(keyed, keys, "cache_key", "left_anti", small).withColumn(
-        "error",
-        F.when(
-            ~F.col("source").isin(CANDIDATE_SOURCES),
-            F.concat(F.lit("Unknown source: "), F.col("source")),
-        ),
+    unknown = ~F.coalesce(F.col("source").isin(CANDIDATE_SOURCES), F.lit(False))
+    misses = lookup(keyed, keys, "cache_key", "left_anti", small).withColumns(
+        {
+            "success": F.when(unknown, F.lit(False)),
+            "cached": F.lit(False),
+            "error": F.when(unknown, F.concat(F.lit("Unknown source: "), F.coalesce("source", F.lit("")))),
+        }
     )
     return hits, misses

@@ -38,7 +38,7 @@ def write_run_records(runs: DataFrame, path: str, mode: str = "overwrite") -> No
 
 
 def read_run_records(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
-    """All readable runs in id order; malformed records and unknown states are skipped.
+    """All readable runs, oldest first; malformed records and unknown states are skipped.
 
     `one_per_file` reads a folder per run with one, possibly indented, run.json each.
     """
@@ -50,8 +50,15 @@ def read_run_records(spark: SparkSession, path: str, one_per_file: bool = False)
     return list_runs(reader.json(path))
 
 
+def created_at(runs: DataFrame) -> Column:
+    """Creation time of the plan; times without a zone are in the session's, unreadable ones null."""
+    return F.col("plan.created_at").try_cast("timestamp") if "plan" in runs.columns else F.lit(None)
+
+
 def list_runs(runs: DataFrame) -> DataFrame:
-    return runs.filter(F.col("id").isNotNull() & F.col("status").isin(RUN_STATUSES)).orderBy("id")
+    """By creation time, then id; runs without a time come last."""
+    known = runs.filter(F.col("id").isNotNull() & F.col("status").isin(RUN_STATUSES))
+    return known.orderBy(created_at(runs).asc_nulls_last(), "id")
 
 
 def find_run(runs: DataFrame, run_id: str) -> DataFrame:

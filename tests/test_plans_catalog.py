@@ -139,4 +139,6 @@ def test_cache_hits_and_misses(spark):
     hits, misses = catalog.split_by_cache(df, files)
     row = hits.collect()
     assert [(r.id, r.local_path, r.cached) for r in row] == [("user/a", "kaggle/user/a/1.csv", True)]
-    assert {r.id: r.error for r in misses.collect()} == {"b/c": None, "x": "Unknown source: ftp"}
+    assert {r.id: (r.success, r.cached, r.error) for r in misses.collect()} == {
+        "b/c": (None, False, None), "x": (False, False, "Unknown source: ftp"),
+    }

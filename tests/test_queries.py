@@ -17,6 +17,7 @@ TABLES = (
 ).split()
 DEFAULT = [
     "hypothesis_slice", "prepare_full", "plan_extract", "answers", "runs_latest", "runs_compacted", "metrics_compacted",
+    "run_settings", "best_run_per_setting", "cache_misses", "runs_list", "runs_watch",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("ASSAY_ALL_QUERIES") else DEFAULT
 

@@ -158,12 +158,12 @@ def cache_hits(spark, sf):
 
 @query(
     "cache_misses",
-    f"""WITH {FILES_SQL} SELECT id, cache_key, CAST(NULL AS VARCHAR) AS error
-    FROM keyed ANTI JOIN landed USING (cache_key)""",
+    f"""WITH {FILES_SQL} SELECT id, cache_key, CAST(NULL AS BOOLEAN) AS success, FALSE AS cached,
+      CAST(NULL AS VARCHAR) AS error FROM keyed ANTI JOIN landed USING (cache_key)""",
 )
 def cache_misses(spark, sf):
     _, misses = catalog.split_by_cache(candidates(spark, sf), landed_files(spark, sf))
-    return misses.select("id", "cache_key", "error")
+    return misses.select("id", "cache_key", "success", "cached", "error")
 
 
 @query(

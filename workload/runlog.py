@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from assay.operators import answers, runs
 from assay.scratch import scratch_path
-from assay.sources import records
+from assay.sources import records, tracker
 from assay.sources.run_log import RunLog
 from assay.streaming.status import current_runs, stream_events, watch_runs
 from workload.inputs import EVENTS_SQL, event_rows, plan_rows, run_events, table
@@ -305,3 +305,56 @@ def merge_maps(spark, sf):
     merged = F.array_sort(F.map_entries(runs.merge_maps(F.col("old"), F.col("new"))))
     pairs = F.transform(merged, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return rows.select("seq", F.array_join(pairs, ",").alias("merged"))
+
+
+# A configuration per order: nested, of other types than asked for, incomplete or broken.
+CONFIG_TEXT = """CASE o_orderkey % 5
+  WHEN 0 THEN concat('{"optimizer": {"lr": 0.', o_orderkey % 89 + 10, ', "name": "adam"}, "depth": ', o_orderkey % 9, '}')
+  WHEN 1 THEN concat('{"optimizer": {"lr": "0.', o_custkey % 89 + 10, '"}, "depth": "deep"}')
+  WHEN 2 THEN '{"optimizer": null, "depth": 8}'
+  WHEN 3 THEN '{"optimizer": {"lr": 0.5'
+  ELSE '{"optimizer": {"name": "sgd"}, "layers": [16, 8]}' END"""
+SETTINGS = {
+    "lr": tracker.Setting("$.optimizer.lr", "double", 0.25),
+    "depth": tracker.Setting("$.depth", "int", 6),
+    "optimizer": tracker.Setting("$.optimizer.name", "string", "none"),
+    "first_layer": tracker.Setting("$.layers[0]", "int"),
+}
+SETTINGS_SQL = f"""tracked AS (SELECT o_orderkey AS k, o_totalprice AS value, CAST(o_orderkey AS VARCHAR) AS run_id,
+    o_orderpriority AS tag, o_orderstatus AS other, {CONFIG_TEXT} AS line FROM orders),
+  parsed AS (SELECT *, CASE WHEN json_valid(line) THEN line END AS j FROM tracked),
+  settings AS (SELECT *, coalesce(TRY_CAST(json_extract_string(j, '$.optimizer.lr') AS DOUBLE), 0.25) AS lr,
+    coalesce(TRY_CAST(json_extract_string(j, '$.depth') AS INT), 6) AS depth,
+    coalesce(json_extract_string(j, '$.optimizer.name'), 'none') AS optimizer,
+    TRY_CAST(json_extract_string(j, '$.layers[0]') AS INT) AS first_layer FROM parsed)"""
+
+
+def tracked_runs(spark, sf):
+    path = scratch_path(spark, "tracked")
+    runs_ = table(spark, sf, "orders").selectExpr(
+        "CAST(o_orderkey AS STRING) AS run_id", "'orders' AS project", "o_orderpriority AS run_name",
+        f"{CONFIG_TEXT} AS config", "array(o_orderpriority, o_orderstatus) AS tags",
+    )
+    tracker.init_runs(runs_, path)
+    return tracker.read_tracked(spark, path)
+
+
+@query(
+    "run_settings",
+    f"""WITH {SETTINGS_SQL} SELECT run_id, lr, depth, optimizer, first_layer FROM settings
+    WHERE lr > 0.2 AND tag = '1-URGENT' AND other = 'O'""",
+)
+def run_settings(spark, sf):
+    found = tracker.with_settings(tracker.tagged(tracked_runs(spark, sf), "1-URGENT", "O"), SETTINGS)
+    return found.filter("lr > 0.2").select("run_id", *SETTINGS)
+
+
+@query(
+    "best_run_per_setting",
+    f"""WITH {SETTINGS_SQL}, best AS (SELECT depth, count(*) AS n, max(value) AS value FROM settings GROUP BY depth)
+    SELECT best.depth AS setting, (SELECT min(run_id) FROM settings s WHERE s.depth = best.depth
+      AND s.value = best.value) AS run_id, value, n FROM best""",
+)
+def best_run_per_setting(spark, sf):
+    scores = table(spark, sf, "orders").selectExpr("CAST(o_orderkey AS STRING) AS run_id", "o_totalprice AS value")
+    return tracker.best_by_setting(tracked_runs(spark, sf), scores, SETTINGS["depth"])
