@@ -12,12 +12,14 @@ match nothing. A paragraph of one line is looked at as a line, a text of one par
 paragraph. Of several templates at the best score the first by licence, then template number, is
 given. Repeated rows are scanned one by one. All input columns are kept; result columns replace
 those of the same names.
+Columns of the caller may have any name; those named like a result column are replaced by it.
 """
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm.license_templates import TEMPLATES
+from assay.llm.names import hidden, shown
 
 THRESHOLD = 0.8
 RESULTS = ["unit", "at", "license", "template", "dice"]
@@ -111,8 +113,8 @@ def scan_licenses(
         F.collect_list(F.struct("license", "template", "b", "grams", "counts")).alias("_t")
     )
     known = [r.g for r in index.select(F.explode("grams").alias("g")).distinct().collect()]
-    kept = df.drop(*RESULTS)
-    units = _once(_units(kept, F.col(text)), "_w", F.split(normalised(F.col("_raw")), " ")).drop("_raw")
+    kept, names = hidden(df, *RESULTS)
+    units = _once(_units(kept, F.col(names[text])), "_w", F.split(normalised(F.col("_raw")), " ")).drop("_raw")
     sizes = index.agg(F.coalesce(F.min("size"), F.lit(1)), F.coalesce(F.max("size"), F.lit(0))).first()
     sized = units.withColumn("_size", F.size("_w") - 1).filter(F.col("_size").between(*sizes))
     # A template within the size bound shares at least t / (2 - t) of the unit's bigrams, so a unit
@@ -141,7 +143,7 @@ def scan_licenses(
         _once(found, "_best", F.array_min(scored))
         .filter(F.col("_best.minus") <= -threshold)
         .select(
-            *(F.col(f"`{c}`") for c in kept.columns),
+            *shown(names),
             "unit",
             F.col("at").cast("int").alias("at"),
             F.col("_best.license").alias("license"),

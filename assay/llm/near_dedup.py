@@ -28,6 +28,7 @@ Edge cases: null texts and texts without words are in classes of their own, exce
 texts without words are one class where they are equal. Texts of up to three runs only match equal
 ones (3/4 is below 0.8). Rows of one doc_id are versions of one document and share its class. A
 row without doc_id has no class and is kept. Other columns are kept.
+Columns of the caller may have any name; those named like a result column are replaced by it.
 """
 
 import re
@@ -39,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.llm.names import hidden, shown
 from assay.llm.workers import releasing
 from assay.scratch import materialize
 
@@ -499,6 +501,7 @@ def near_duplicates(
     if similarity < SIMILARITY:
         # The bands are laid out for this limit; a lower one would lose links.
         raise ValueError(f"the bands find similarities of {SIMILARITY} or more")
+    docs, doc_id, text = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text"
     sketch = materialize(sketches(docs, doc_id, text, words), "sketches")
     # Rows of one id, then equal texts, are tied to their smallest id.
     nodes = materialize(
@@ -552,14 +555,14 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     """One document of each class: that with the smallest id. Rows without an id stay."""
     classes = near_duplicates(docs, doc_id, text, **options)
     gone = materialize(classes.filter("doc_id != class_id").select("doc_id").distinct(), "copies")
-    left = docs.join(
-        gone.withColumnRenamed("doc_id", "_gone"), F.col(doc_id).cast("long") == F.col("_gone"), "left_anti"
-    )
+    rows, names = hidden(docs)
+    doc_id, text = names[doc_id], names[text]
+    left = rows.join(gone.withColumnRenamed("doc_id", "_gone"), F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
     ids = left.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).count()
     if ids.filter("count > 1").isEmpty():
-        return left
+        return left.select(shown(names))
     # Rows of one id: the first by text stays.
     named = left.filter(F.col(doc_id).isNotNull())
     first = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last())
     one = named.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return one.unionByName(left.filter(F.col(doc_id).isNull()))
+    return one.unionByName(left.filter(F.col(doc_id).isNull())).select(shown(names))

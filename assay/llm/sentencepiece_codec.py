@@ -9,6 +9,7 @@ projects the borders onto the bytes of the original text.
 Edge cases: a null text is an empty one and gives the begin and end ids only; begin and end have
 empty spans at the text's borders. Texts are never cut. Rows are independent, so repeated rows
 and ties don't matter; other columns are kept, result columns replace those of the same names.
+Columns of the caller may have any name; those named like a result column are replaced by it.
 """
 
 import hashlib
@@ -21,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm.names import hidden, shown
 from assay.llm.workers import releasing
 
 SPACE = "▁".encode()
@@ -178,18 +180,22 @@ def _encoded(model: str, texts: list[str]) -> Iterator[tuple[str, np.ndarray, np
 def _run(df: DataFrame, text: str, schema: str, rows, kept: list[str]) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
     kept = [c for c in kept if c not in names]
-    types = {f.name: f.dataType for f in df.schema}
-    out = ", ".join([*(f"`{c}` {types[c].simpleString()}" for c in kept), schema])
+    rows_in, inner = hidden(df)
+    inner, body = {c: inner[c] for c in kept}, inner[text]
+    types = {f.name: f.dataType for f in rows_in.schema}
+    out = ", ".join([*(f"{h} {types[h].simpleString()}" for h in inner.values()), schema])
+    hid = list(inner.values())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             texts = x["_text"].tolist()
             for a, b in _chunks(texts):
                 made = pd.DataFrame(rows(texts[a:b]), columns=names)
-                part = x[kept].iloc[a:b].reset_index(drop=True)
+                part = x[hid].iloc[a:b].reset_index(drop=True)
                 yield pd.concat([part, made], axis=1)
 
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(text, F.lit("")).alias("_text")).mapInPandas(releasing(run), out)
+    texts_in = rows_in.select(*hid, F.coalesce(body, F.lit("")).alias("_text"))
+    return texts_in.mapInPandas(releasing(run), out).select(*shown(inner), *names)
 
 
 def encode(df: DataFrame, model: str, text: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ with several labels counts as toxic if one says so; null labels and labels of un
 ignored. Without labels of both kinds every score is the share of toxic labels (0 without labels);
 without both kinds in the calibration fold the trees' probability stands. Equal texts get equal
 scores. Other columns are kept; result columns replace those of the same names.
+Columns of the caller may have any name; those named like a result column are replaced by it.
 """
 
 import re
@@ -31,6 +32,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm.names import hidden, shown
 from assay.llm.workers import release
 from assay.scratch import materialize
 
@@ -254,11 +256,11 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """`docs` with score (0 to 1) and predicted (1 from THRESHOLD on)."""
-        docs = docs.drop("score", "predicted")
+        docs, names = hidden(docs, "score", "predicted")
         if self.trees is None:
             scored = docs.withColumn("score", F.lit(self.prior))
         else:
-            scored = docs.withColumn("_f", array_to_vector(feature_column(F.col(text), self.lexicon)))
+            scored = docs.withColumn("_f", array_to_vector(feature_column(F.col(names[text]), self.lexicon)))
             scored = self.trees.transform(scored).withColumn("_p", vector_to_array("_prob")[1])
             if self.calibration is None:
                 scored = scored.withColumn("score", F.col("_p"))
@@ -266,8 +268,7 @@ class ToxicityModel:
                 scored = self.calibration.transform(scored).withColumn(
                     "score", (1 - ORDER) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_c")) + ORDER * F.col("_p")
                 )
-            scored = scored.drop("_f", "_raw", "_prob", "_class", "_p", "_c")
-        return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+        return scored.select(*shown(names), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def fit_toxicity(

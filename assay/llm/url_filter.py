@@ -13,6 +13,7 @@ verdict; so does every url where no rule fits. A rule that is both allowed and b
 Of several rules that fit, the longest wins, then the one with the longer host. Null rules are
 ignored. Repeated urls are judged one by one; other columns are kept, except that the four result
 columns replace columns of the same names.
+Columns of the caller may have any name; those named like a result column are replaced by it.
 """
 
 from dataclasses import dataclass, field
@@ -22,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm.names import hidden, shown
 from assay.scratch import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -175,10 +177,11 @@ def filter_urls(
         "rule", (F.col("action") == "block").alias("blocks")
     )
     shapes = rule_shapes(rules)
-    kept = urls.drop("host", "path", "rule", "verdict")
-    judged = kept.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    kept, names = hidden(urls, "host", "path", "rule", "verdict")
+    out = [*shown(names), "host", "path", "rule", "verdict"]
+    judged = kept.withColumns({"host": host_of(F.col(names[url])), "path": path_of(F.col(names[url]))})
     if not shapes:
-        return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}).select(out)
     keys = candidate_keys(F.col("host"), F.col("path"), shapes)
     corpus = judged.select("host", "path").distinct().select(F.explode(keys).alias("key"))
     # One aggregate tells which keys of the universe are listed: no join here either.
@@ -202,7 +205,7 @@ def filter_urls(
     n = universe.agg(F.count("*"), F.count_if("listed")).first()
     # Bits of the first level; the others together are at most a few times the listed keys.
     if n[1] * (np.log2(max(2.0, n[0] / max(n[1], 1))) * 1.45 + 12) / 8 > max_filter_bytes:
-        return _joined(judged, keys, rules, default)
+        return _joined(judged, keys, rules, default).select(out)
     listed, blocks = build_cascade(universe, "listed"), build_cascade(universe.filter("listed"), "blocks")
     sent = judged.sparkSession.sparkContext.broadcast((listed, blocks))
 
@@ -232,7 +235,7 @@ def filter_urls(
             "rule": F.when(hit, F.get("_keys", F.col("_hit.at"))),
             "verdict": F.when(~hit, F.lit(default)).when(F.col("_hit.blocks"), "block").otherwise("allow"),
         }
-    ).drop("_keys", "_hit")
+    ).select(out)
 
 
 def _joined(judged: DataFrame, keys: Column, rules: DataFrame, default: str) -> DataFrame:
