@@ -196,6 +196,51 @@ def test_decontamination_against_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == want
 
 
+def test_decontamination_searches_every_passage_in_the_latent_space(spark):
+    rng = np.random.default_rng(9)
+    draw = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 800, n))
+    pieces = [draw(30) for _ in range(40)]
+    rows = [(i, draw(200)) for i in range(60)] + [(60, draw(20) + " " + pieces[3] + " " + draw(20)), (61, "nothing of it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = decontaminate._numbered(list(range(40)), [p.split() for p in pieces])
+    encoded = decontaminate._encode(df, "doc_id", "text", items).cache()
+    frequency, passages = decontaminate._frequencies(encoded, len(items.vocabulary))
+    items.weight = decontaminate.word_weights(items, frequency, passages)
+    assert passages == sum(-(-len(t.split()) // decontaminate.STRIDE) for _, t in rows)
+    encoded = encoded.filter("_id IS NOT NULL")
+    # No passage is left out for the words it shares, and the cosine alone brings the copy.
+    assert {r._id for r in encoded.collect()} == set(range(61))
+    basis = decontaminate.latent_basis(encoded, items)
+    found = decontaminate._search(encoded.withColumn("able", F.lit(b"")), items, basis).collect()
+    assert {(r._id, r.piece) for r in found} == {(60, 3)}
+    assert all(r.cosine >= decontaminate.MIN_COSINE and r.lcs == 1.0 for r in found)
+
+
+def test_latent_basis_spans_the_leading_directions(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"t{t}w{i}" for i in rng.integers(0, 6, 40)) for t in rng.integers(0, 5, 80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = [f"t{t}w{i}" for t in range(5) for i in range(6)]
+    items = decontaminate._numbered(list(range(5)), [words[a : a + 6] for a in range(0, 30, 6)])
+    items.weight = np.linspace(0.5, 1.5, 30)
+    encoded = decontaminate._encode(df, "doc_id", "text", items).filter("_id IS NOT NULL")
+    basis = decontaminate.latent_basis(encoded, items, 5)
+    rows = np.zeros((80, 30))
+    for r, text in zip(rows, texts, strict=True):
+        for w in set(text.split()):
+            at = items.vocabulary[w]
+            r[at] = (1 + np.log(text.split().count(w))) * items.weight[at]
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    own = np.zeros((5, 30))
+    for r, piece in zip(own, items.pieces, strict=True):
+        r[piece] = items.weight[piece]
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    gram = rows.T @ rows + own.T @ own * 80 / 5
+    best = np.linalg.eigvalsh(gram)[::-1][:5].sum()
+    assert np.allclose(basis.T @ basis, np.eye(5), atol=1e-4)
+    assert np.trace(basis.T @ gram @ basis) >= 0.99 * best
+
+
 def test_lcs_against_table():
     rng = np.random.default_rng(4)
     for _ in range(50):
