@@ -86,8 +86,9 @@ def lookup(
         F.when(~answered, F.col(key)).alias("_probe"),
         F.when(answered, salt(left)).otherwise(0).alias("_spread"),
     )
+    # Spark broadcasts by the size of files, which says little about rows: those measured above stay shuffled.
     joined = keyed.join(
-        large,
+        large.hint("merge"),
         (F.col("_probe") == F.col("_key")) & (F.col("_spread") == F.col("_salt")),
         "left",
     ).withColumn("_hit", F.coalesce("_a", "_b"))

@@ -112,6 +112,13 @@ def test_large_lookup_equals_a_plain_join(spark, how, hot_rows):
     )
 
 
+def test_large_lookup_is_not_broadcast_by_file_size(spark):
+    left = spark.range(900).selectExpr("id AS n", "id % 97 AS k")
+    found = joins.lookup(left, spark.range(60).selectExpr("id AS k", "id * 2 AS v"), "k", "inner", broadcast_rows=1)
+    assert len(found.collect()) == sum(n % 97 < 60 for n in range(900))
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lookup_kind_is_checked(spark):
     with pytest.raises(ValueError):
         joins.lookup(spark.range(1), spark.range(1), "id", "full")

@@ -8,6 +8,7 @@ from assay.operators import answers, metrics, segments
 from assay.operators.impute import impute
 from assay.operators.joins import lookup
 from assay.operators.split import add_split
+from assay.scratch import materialize
 from workload.inputs import (
     SCORES_SQL,
     STUDY_SQL,
@@ -312,7 +313,8 @@ SLICE_SQL = f"""{STUDY_SQL}, m AS (SELECT median(acctbal) AS a FROM study),
 
 def slice_lines(spark, sf):
     """Balance against three targets: imputed, split, fitted and scored."""
-    rows = study(spark, sf).select("o_orderkey", "acctbal", *TARGETS)
+    # Split, fills and fit scan the rows several times; they are joined once.
+    rows = materialize(study(spark, sf).select("o_orderkey", "acctbal", *TARGETS), "slice")
     # The split needs the key alone, so it comes before the fills.
     ready = impute(add_split(rows, "o_orderkey"), ["acctbal"])
     pairs = [F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in TARGETS]
