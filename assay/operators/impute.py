@@ -54,7 +54,6 @@ def values_at(df: DataFrame, ranks: dict[str, set[int]]) -> dict[str, dict[int,
     rows whose higher digits are the ones that a rank was found under so far, and keeps the digits
     that the ranks fall on. What a task sends on is bounded by the digits, not by its rows.
     """
-    spark = df.sparkSession
     columns = list(ranks)
     # Per column: what is left of each rank, and the higher digits of its value.
     sought = {(c, r): (0, r) for c in columns for r in ranks[c]}
@@ -76,14 +75,17 @@ def values_at(df: DataFrame, ranks: dict[str, set[int]]) -> dict[str, dict[int,
             .agg(F.count(F.lit(1)).alias("n"))
         )
         upto = F.sum("n").over(Window.partitionBy("c", "prefix").orderBy("digit"))
-        left = spark.createDataFrame(
-            [(columns.index(c), prefix, r, rest) for (c, r), (prefix, rest) in sought.items()],
-            "c int, prefix long, rank long, rest long",
-        )
+        # What is left of the ranks goes along as literals: a broadcast takes 32 MB for a single row.
+        def rests(c: str) -> Column:
+            known = [(F.lit(prefix), F.lit(r), F.lit(rest)) for (of, r), (prefix, rest) in sought.items() if of == c]
+            names = ("under", "rank", "rest")
+            return F.array(*(F.struct(*(x.cast("long").alias(n) for x, n in zip(row, names, strict=True))) for row in known))
+
+        left = F.array(*(rests(c) for c in columns))
         hits = (
             counts.withColumn("upto", upto)
-            .join(F.broadcast(left), ["c", "prefix"])
-            .filter((F.col("rest") < F.col("upto")) & (F.col("rest") >= F.col("upto") - F.col("n")))
+            .select("c", "prefix", "digit", "n", "upto", F.inline(left[F.col("c")]))
+            .filter((F.col("under") == F.col("prefix")) & (F.col("rest") < F.col("upto")) & (F.col("rest") >= F.col("upto") - F.col("n")))
             .select("c", "rank", "prefix", "digit", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))
         )
         sought = {

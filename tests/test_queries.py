@@ -58,3 +58,17 @@ def test_every_twin_belongs_to_a_query():
 def test_flagship_verdicts(spark):
     rows = {r.target: r.verdict for r in entry.entry(spark).collect()}
     assert rows == {"strong": "confirmed", "medium": "inconclusive", "total": "rejected"}
+
+
+@pytest.mark.parametrize("name", ["linreg_holdout", "impute_median"])
+def test_study_is_joined_once(spark, tmp_path, name):
+    customer = spark.range(40).selectExpr("id AS c_custkey", "CAST(id * 7 % 31 AS DOUBLE) AS c_acctbal", "'x' AS c_mktsegment")
+    customer.write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(400).selectExpr(
+        "id AS o_orderkey", "id % 40 AS o_custkey", "'F' AS o_orderstatus", "CAST(id AS DOUBLE) AS o_totalprice",
+        "current_timestamp() AS o_orderdate", "'low' AS o_orderpriority",
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    df = entry.queries()[name](spark, str(tmp_path))
+    assert df.count() == (3 if name == "linreg_holdout" else 400)
+    # Scans after the join read what it wrote.
+    assert not any(str(tmp_path) in f for f in df.inputFiles())
