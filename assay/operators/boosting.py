@@ -36,6 +36,8 @@ LEAST_GAIN = 1e-6
 #: Accuracy of the quantile sketch that bins come from.
 SKETCH_ACCURACY = 10_000
 CHECKPOINT_ROUNDS = 20
+#: Least rows of a block, but for the last of a task: the work per block is spread over its rows.
+BLOCK_ROWS = 32_768
 #: Sums of a level, over all partitions, that are added on the driver (in numbers of 8 bytes); more
 #: are reduced by key.
 DRIVER_SUMS = 2**21
@@ -43,15 +45,15 @@ OBJECTIVES = ("squared", "logistic", "softmax")
 
 
 def gradients(objective: str, y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and second derivatives of the loss by margin, rows by trees of a round."""
+    """First and second derivatives of the loss by margin, trees of a round by rows."""
     if objective == "squared":
-        return margin - y[:, None], np.ones_like(margin)
+        return margin - y, np.ones_like(margin)
     if objective == "logistic":
         p = 1 / (1 + np.exp(-margin))
-        return p - y[:, None], np.maximum(p * (1 - p), 1e-16)
-    p = np.exp(margin - margin.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    own = np.arange(margin.shape[1]) == y[:, None]
+        return p - y, np.maximum(p * (1 - p), 1e-16)
+    p = np.exp(margin - margin.max(axis=0))
+    p /= p.sum(axis=0)
+    own = np.arange(len(margin))[:, None] == y
     return p - own, np.maximum(2 * p * (1 - p), 1e-16)
 
 
@@ -68,16 +70,20 @@ class Tree:
 
     def nodes(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where rows end up: `rows` are bins with `at` = bin, or values with `at` = cut."""
-        node = np.zeros(len(rows), dtype=np.int64)
-        every = np.arange(len(rows))
-        for _ in range(self.depth):
-            feature = self.feature[node]
-            inner = feature >= 0
-            if not inner.any():
+        n, width = rows.shape
+        flat, first = np.ascontiguousarray(rows).ravel(), np.arange(0, n * width, width)
+        node = np.zeros(n, dtype=np.int64)
+        for level in range(self.depth):
+            here = self.feature[2**level - 1 : 2 ** (level + 1) - 1]
+            if not (here >= 0).any():
                 break
-            own = rows[every, np.maximum(feature, 0)]
-            right = own > at[node] if at is self.bin else own >= at[node]
-            node = np.where(inner, 2 * node + 1 + right, node)
+            feature = self.feature.take(node)
+            own = flat.take(first + np.maximum(feature, 0))
+            cut = at.take(node)
+            right = own > cut if at is self.bin else own >= cut
+            down = 2 * node + 1 + right
+            # Rows stay at a leaf; where none was passed so far, all go down.
+            node = down if (here >= 0).all() else np.where(feature >= 0, down, node)
         return node
 
 
@@ -101,14 +107,27 @@ def best_cuts(hist: np.ndarray, ridge: float, least: float) -> np.ndarray:
 
 def _pack(cuts: list[np.ndarray]):
     width = len(cuts)
+    kind = np.uint8 if max(map(len, cuts), default=0) < 256 else np.uint16
+
+    def block(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        bins, y = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pd.DataFrame({"bins": [bins.tobytes()], "y": [y.tobytes()]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
         for x in batches:
             if not len(x):
                 continue
-            values = np.array(x["x"].to_list(), dtype=np.float64).reshape(len(x), width)
-            bins = np.stack([np.searchsorted(c, v, side="right") for c, v in zip(cuts, values.T, strict=True)], axis=1)
-            yield pd.DataFrame({"bins": [bins.astype(np.uint16).tobytes()], "y": [x["label"].to_numpy(np.float64).tobytes()]})
+            bins = np.empty((len(x), width), kind)
+            for i, c in enumerate(cuts):
+                bins[:, i] = np.searchsorted(c, x[f"x{i}"].to_numpy(np.float64), side="right")
+            held.append((bins, x["label"].to_numpy(np.float64)))
+            rows += len(x)
+            if rows >= BLOCK_ROWS:
+                yield block(held)
+                held, rows = [], 0
+        if held:
+            yield block(held)
 
     return run
 
@@ -156,15 +175,18 @@ class BoostedTrees(Estimator):
             raise ValueError("no training rows")
         base = float(mean) if self.objective == "squared" else 0.0
         cuts, width = self.cuts(rows, features), self.width
+        kind = np.uint8 if max(map(len, cuts), default=0) < 256 else np.uint16
 
         def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             y = np.frombuffer(row.y, np.float64)
-            bins = np.frombuffer(row.bins, np.uint16).reshape(len(y), features)
-            return bins, y, np.full((len(y), width), base)
+            bins = np.frombuffer(row.bins, kind).reshape(len(y), features)
+            return bins, y, np.full((width, len(y)), base)
 
         # Blocks of arrays with the margins of the rounds so far; a table has no column for these
         # that lives from round to round without being written.
-        blocks = rows.mapInPandas(_pack(cuts), "bins binary, y binary").rdd.map(unpack)
+        # Features go to the tasks as plain columns: a list for each row costs more than all else here.
+        plain = rows.select(*(F.col("x")[i].alias(f"x{i}") for i in range(features)), "label")
+        blocks = plain.mapInPandas(_pack(cuts), "bins binary, y binary").rdd.map(unpack)
         blocks.persist(StorageLevel.MEMORY_AND_DISK)
         scratch_path(spark, "boost")
         if not spark.sparkContext.getCheckpointDir():
@@ -207,17 +229,24 @@ class BoostedTrees(Estimator):
                 total = {}
                 for x, y, margin in part:
                     g, h = gradients(objective, y, margin)
+                    columns = np.ascontiguousarray(x.T)
                     for k in growing:
                         node = known[k].nodes(x, known[k].bin)
                         slot = np.full(len(known[k].feature), -1)
-                        slot[places[k]] = np.arange(len(places[k]))
-                        at = slot[node]
-                        live = at >= 0
+                        slot[places[k]] = np.arange(len(places[k])) * bins
+                        at, own = slot.take(node), (g[k], h[k])
+                        cells = columns
+                        if at.min() < 0:
+                            live = np.flatnonzero(at >= 0)
+                            at, own, cells = at[live], (g[k][live], h[k][live]), columns[:, live]
                         size = len(places[k]) * bins
                         for f in range(width):
-                            cell = at[live] * bins + x[live, f]
-                            both = np.stack([np.bincount(cell, w[live, k], minlength=size) for w in (g, h)])
-                            total[k, f] = total[k, f] + both if (k, f) in total else both
+                            cell = at + cells[f]
+                            both = np.stack([np.bincount(cell, w, minlength=size) for w in own])
+                            if (k, f) in total:
+                                total[k, f] += both
+                            else:
+                                total[k, f] = both
                 return iter(total.items())
 
             def cut(item):
@@ -259,7 +288,7 @@ class BoostedTrees(Estimator):
 def _moved(trees: list[Tree]):
     def run(block: tuple) -> tuple:
         x, y, margin = block
-        step = np.stack([t.value[t.nodes(x, t.bin)] for t in trees], axis=1)
+        step = np.stack([t.value.take(t.nodes(x, t.bin)) for t in trees])
         return x, y, margin + step
 
     return run
@@ -293,7 +322,7 @@ class Ensemble:
         """Rows by trees of a round."""
         out = np.full((len(x), self.width), self.base)
         for row in self.trees:
-            out += np.stack([t.value[t.nodes(x, t.cut)] for t in row], axis=1)
+            out += np.stack([t.value.take(t.nodes(x, t.cut)) for t in row], axis=1)
         return out
 
     def predictions(self, x: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Boosted trees against a small dense build of the same rule."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -105,3 +106,12 @@ def test_odd_tables(spark):
     assert BoostedTrees("squared", 3, 2, 0.3).fit(flat).transform(flat.limit(0)).count() == 0
     one = BoostedTrees("squared", 3, 2, 0.3).fit(flat.filter(F.col("label") == 1))
     assert {r.prediction for r in one.transform(flat).collect()} == {1.0}
+
+
+def test_batches_are_joined_to_large_blocks_of_narrow_bins():
+    sizes = (10_000, 10_000, 10_000, 10_000, 0, 5)
+    batches = (pd.DataFrame({"x0": np.arange(n) % 4.0, "label": np.full(n, 1.0)}) for n in sizes)
+    blocks = pd.concat(boosting._pack([np.array([1.0, 3.0])])(batches))
+    assert [len(b) for b in blocks["bins"]] == [40_000, 5]
+    assert list(blocks["bins"].iloc[1]) == [0, 1, 1, 2, 0]
+    assert [len(b) // 8 for b in blocks["y"]] == [40_000, 5]
