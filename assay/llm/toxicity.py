@@ -99,48 +99,69 @@ class Features:
     """Feature rows of texts, for one lexicon."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
-        self.lexicon, self.seen = lexicon, {}
+        self.seen: dict[str, tuple | bool] = {}
+        self.words = {e: x for e, x in lexicon.items() if not e.endswith("-")}
+        self.stems = {e[:-1]: x for e, x in lexicon.items() if e.endswith("-")}
 
     def _weight(self, word: str) -> float:
-        get = self.lexicon.get
-        return max([0.0, *(get(e, 0.0) for e in entries_of(word))])
-
-    def _token(self, token: str) -> tuple:
-        """weight, insult, second person, only hit once undone, obfuscated, stretched, shouted."""
-        word = EDGE.sub("", token)
+        """The largest weight of the word's entries (`entries_of`)."""
+        best, get, size = self.words.get(word, 0.0), self.stems.get, len(word)
+        for n in STEMS:
+            if size <= n:
+                break
+            best = max(best, get(word[:n], 0.0))
+        return max(best, 0.0)
+
+    def _token(self, token: str) -> tuple | bool:
+        """weight, insult, second person, only hit once undone, obfuscated, stretched, shouted and the
+        word; False if it is none of these, as most are."""
+        word = token if token.isalpha() else EDGE.sub("", token)
         low = word.lower()
         weight = self._weight(low) if low else 0.0
-        plain = INNER.sub("", low.translate(SIGNS).replace("*", ""))
-        odd = plain != low and any(c.isalpha() for c in low) and not low.isalpha()
+        plain, odd = low, False
+        # Letters alone hold no sign to undo.
+        if not low.isalpha():
+            plain = INNER.sub("", low.translate(SIGNS).replace("*", ""))
+            odd = plain != low and any(map(str.isalpha, low))
         stretched = bool(STRETCHED.search(low))
         undone = 0.0
         if (odd or stretched) and not weight:
             plain = re.sub(r"(\w)\1\1+", r"\1", plain)
             undone = max(self._weight(plain), float(plain in INSULTS))
         shouted = len(word) > 2 and word.isupper()
-        return (weight or undone, low in INSULTS, low in SECOND_PERSON, undone > 0, odd, stretched, shouted, low)
+        insult, second = low in INSULTS, low in SECOND_PERSON
+        if not (weight or undone or insult or second or odd or stretched or shouted):
+            return False
+        return (weight or undone, insult, second, undone > 0, odd, stretched, shouted, low)
+
+    def _known(self, token: str) -> tuple | bool:
+        seen = self.seen
+        known = seen.get(token)
+        if known is None:
+            if len(seen) >= CACHE:
+                seen.clear()
+            known = seen[token] = self._token(token)
+        return known
 
     def row(self, text: str) -> list[float]:
         tokens = text.split()
         if not tokens:
             return [0.0] * len(FEATURES)
-        seen, out = self.seen, []
-        for token in tokens:
-            known = seen.get(token)
-            if known is None:
-                if len(seen) >= CACHE:
-                    seen.clear()
-                known = seen[token] = self._token(token)
-            out.append(known)
-        weight, insult, second, undone, odd, stretched, shouted, low = zip(*out, strict=True)
+        found = list(map(self.seen.get, tokens))
+        found = [self._known(t) if known is None else known for t, known in zip(tokens, found, strict=True)]
+        marked = [(i, known) for i, known in enumerate(found) if known]
+        at = [i for i, _ in marked]
+        nothing = [()] * 8
+        weight, insult, second, undone, odd, stretched, shouted, low = zip(*(x for _, x in marked), strict=True) if marked else nothing
         n = len(tokens)
-        hit = [i for i, (w, x) in enumerate(zip(weight, insult, strict=True)) if w or x]
-        you = np.flatnonzero(second)
+        own = [k for k, (w, x) in enumerate(zip(weight, insult, strict=True)) if w or x]
+        hit = [at[k] for k in own]
+        you = np.array([i for i, x in zip(at, second, strict=True) if x], dtype=np.int64)
         near = 0
         if hit and len(you):
-            at = np.searchsorted(you, hit)
-            after = np.abs(you[np.minimum(at, len(you) - 1)] - hit)
-            before = np.abs(you[np.maximum(at - 1, 0)] - hit)
+            place = np.searchsorted(you, hit)
+            after = np.abs(you[np.minimum(place, len(you) - 1)] - hit)
+            before = np.abs(you[np.maximum(place - 1, 0)] - hit)
             near = int((np.minimum(after, before) <= NEAR).sum())
         chars = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
         capitals, small = chars[65:91].sum(), chars[97:123].sum() + chars[0xC3]
@@ -148,7 +169,7 @@ class Features:
         return [
             sum(weight) / n,
             float(len(hit)),
-            float(len({low[i] for i in hit})),
+            float(len({low[k] for k in own})),
             len(hit) / n,
             sum(insult) / n,
             len(you) / n,

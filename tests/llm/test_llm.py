@@ -149,6 +149,15 @@ def test_toxicity_keeps_the_share_of_all_labels(spark, monkeypatch):
     assert len(rows) == 1 and abs(rows[0].score - 0.14) < 0.05 and rows[0].predicted == 0
 
 
+def test_toxicity_remembers_only_telling_words():
+    features = toxicity.Features({"rotten": 2.5, "slim-": 3.0})
+    row = dict(zip(toxicity.FEATURES, features.row("River, you slimy IDIOT r0tten looong river"), strict=True))
+    assert features.seen["River,"] is False and features.seen["river"] is False and features.seen["slimy"]
+    assert (row["hits"], row["distinct_hits"], row["undone_hits"]) == (3.0, 3.0, 1.0)
+    assert row["hits_near_second_person"] == 3.0 and row["weight_density"] == pytest.approx(5.5 / 7)
+    assert row["shouted_share"] == row["obfuscated_share"] == row["stretched_share"] == 1 / 7
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
